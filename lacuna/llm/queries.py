@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.functions.ids import id_form
 from lacuna.functions.names import key_column
-from lacuna.llm import chunking, components, mixing, tokens, vptree
+from lacuna.llm import chunking, components, mixing, spans, tokens, vocabulary, vptree
 from lacuna.plans.runtime import table
 
 LIKENESS = 0.7
@@ -47,6 +48,22 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(linked, "class", "left").select("seq", "class", F.coalesce("group_key", "class").alias("group_key"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    triples = table(spark, d, "triples")
+    rows = triples.select(id_form(F.col("source_paper_id")).alias("rec"), key_column(F.col("subject.name")).alias("s"), key_column(F.col("object.name")).alias("o"))
+    freq = vocabulary.frequencies(vocabulary.build_index(rows, "rec", "s", "o"))
+    papers = triples.select(id_form(F.col("source_paper_id")).alias("rec")).where("rec is not null").distinct().agg(F.count("*"))
+    return vocabulary.marked(freq, papers, rare_most=2, common_percent=1)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _terms(spark, d).where("mark is not null").select(F.col("term").alias("name_key"), "mark")
+
+
+def p6_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _terms(spark, d).select(F.col("term").alias("name_key"), F.col("n_first").alias("as_subject"), F.col("n_second").alias("as_object"), "occurrences", F.col("records").alias("papers"), "mark")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"), "text", "doc_id")
 
@@ -64,8 +81,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, d, "documents"), "doc_id", "text", 200).pairs()
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n_chars, shared_chars) of every document of at least 200 characters."""
+    return spans.SharedSpans(table(spark, d, "documents"), "doc_id", "text", 200).coverage().withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_groups, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_groups, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
