@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.ids import id_form
 from lacuna.functions.names import key_column
-from lacuna.llm import chunking, components, mixing, spans, tokens, vocabulary, vptree
+from lacuna.llm import chunking, components, history, mixing, spans, tokens, vocabulary, vptree
 from lacuna.plans.runtime import table
 
 LIKENESS = 0.7
@@ -48,6 +48,16 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(linked, "class", "left").select("seq", "class", F.coalesce("group_key", "class").alias("group_key"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p5_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, accepted) of every papers row, all batches in one append to an empty index."""
+    papers = table(spark, d, "papers").withColumn("id", id_form(F.col("paperId")))
+    return history.screen(papers, "seq", "id", ["title", "abstract"], [F.coalesce("batch_no", F.lit(-1))], LIKENESS, SHINGLE, MIN_WORDS)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_decisions(spark, d).where("not accepted").select("seq")
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     triples = table(spark, d, "triples")
     rows = triples.select(id_form(F.col("source_paper_id")).alias("rec"), key_column(F.col("subject.name")).alias("s"), key_column(F.col("object.name")).alias("o"))
@@ -91,7 +101,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_groups, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_groups, p5_found, p5_decisions, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
