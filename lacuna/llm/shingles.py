@@ -1,7 +1,7 @@
 """Word-shingle signatures shared by the near-duplicate operators.
 
 Words are the maximal runs of letters or digits of ``lower(a + ' ' + b)``; a
-row's set holds the 64-bit hashes of its distinct runs of ``k`` words.  Likeness
+row's set holds the 50-bit hashes of its distinct runs of ``k`` words.  Likeness
 is the Jaccard similarity of two sets.  All of it works on whole texts and on
 Arrow batches at once; nothing here is per row but the word split.
 
@@ -20,6 +20,7 @@ import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 21
+HASH_BITS = 50
 _CACHE_MAX = 400_000
 EPS = 1e-9
 
@@ -67,12 +68,17 @@ def shingle_sets(texts: list[str], k: int = 3, min_words: int = 20) -> tuple[np.
         s = h[:n].copy()
         for j in range(1, k):
             s = mix(s * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    s, row = (x[row[:n] == row[k - 1 :]] for x in (s, row[:n]))
-    order = np.lexsort((s, row))
-    s, row = s[order], row[order]
-    first = np.ones(s.size, bool)
-    first[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
-    s, row = s[first], row[first]
+    inside = row[:n] == row[k - 1 :]
+    s, row = s[inside], row[:n][inside]
+    # One sort of (row, hash) in 64 bits; hashes keep HASH_BITS of them.
+    parts, step = [], 1 << (64 - HASH_BITS)
+    bounds = np.searchsorted(row, np.arange(0, len(texts) + step, step))
+    for at, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        key = (row[lo:hi] - at * step).astype(np.uint64) << np.uint64(HASH_BITS) | s[lo:hi] >> np.uint64(64 - HASH_BITS)
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        parts.append((key << np.uint64(64 - HASH_BITS), (key >> np.uint64(HASH_BITS)).astype(np.int64) + at * step))
+    s, row = (np.concatenate(x) for x in zip(*parts, strict=True))
     return s, np.cumsum(np.bincount(row, minlength=len(texts)))
 
 
@@ -103,7 +109,14 @@ def ranked_prefixes(s: np.ndarray, ends: np.ndarray, counts: np.ndarray, t: floa
     """
     sizes = np.diff(ends, prepend=0)
     row = np.repeat(np.arange(ends.size), sizes)
-    order = np.lexsort((s, counts[slot(s)], row))
+    c = counts[slot(s)]
+    level = np.minimum(np.where(c < 256, c, 256 + 32 * np.log2(np.maximum(c, 1) / 256.0)), 1023).astype(np.uint64)
+    # The order is (level, hash); as one number while rows are few and hashes' 40 upper bits differ.
+    key = row.astype(np.uint64) << np.uint64(50) | level << np.uint64(40) | s >> np.uint64(24)
+    order = np.argsort(key)
+    key = key[order]
+    if ends.size > 1 << 14 or (key[1:] == key[:-1]).any():
+        order = np.lexsort((s, level, row))
     s = s[order]
     pos = np.arange(s.size) - np.repeat(ends - sizes, sizes)
     keep = pos < prefix_len(sizes, t)[row]
