@@ -18,6 +18,10 @@ GENERIC_PHRASES = (
 STOPWORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "of", "on", "or", "the", "to", "using", "via", "with")
 
 
+# What counts as white space (as Python's str.split has it).
+_SPACE = r"[\t-\r\x1c-\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def truthy(col: Column) -> Column:
     """The column, null where a text is empty or a number zero (blanks count as content)."""
     return F.when((col.cast("string") != "") & (col.cast("string") != "0"), col)
@@ -25,7 +29,7 @@ def truthy(col: Column) -> Column:
 
 def clean_text(col: Column) -> Column:
     """White space collapsed and trimmed (H3)."""
-    return F.trim(F.regexp_replace(col, r"[\s\x1c-\x1f\x85  -   　]+", " "))
+    return F.trim(F.regexp_replace(col, _SPACE, " "))
 
 
 def words(col: Column) -> Column:
