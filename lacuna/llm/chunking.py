@@ -11,6 +11,7 @@ up to ``overlap`` characters earlier, at a unit's or a word's start.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from math import sqrt
@@ -25,6 +26,7 @@ from lacuna.plans.runtime import ship
 _UNIT = re.compile(r"(?:[.!?…]+[\"'”’)\]]*\s+|[。！？]+\s*|\n+\s*)")
 _WORD = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\s+")
+_JOINED = "\u200d\ufe0e\ufe0f"
 
 
 def units(text: str, most: int) -> list[int]:
@@ -49,7 +51,7 @@ def units(text: str, most: int) -> list[int]:
 def _between(text: str, at: int, least: int) -> int:
     """The last place up to ``at`` that does not part a character from the marks that belong to it."""
     place = at
-    while place > least and place < len(text) and (0x300 <= ord(text[place]) <= 0x36F or text[place] in "‍️" or text[place - 1] == "‍"):
+    while place > least and place < len(text) and (unicodedata.combining(text[place]) or text[place] in _JOINED or text[place - 1] == "\u200d"):
         place -= 1
     return place if place > least else at
 

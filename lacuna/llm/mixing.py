@@ -20,7 +20,7 @@ SPREAD = 64
 
 def source_key(col: Column) -> Column:
     """Sources compare after trimming and lower-casing."""
-    return F.lower(F.trim(F.regexp_replace(col, r"^[\s ]+|[\s ]+$", "")))
+    return F.lower(F.regexp_replace(col, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
 
 
 def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
