@@ -1 +1,177 @@
-"""Queries."""
+"""Gate, stability and scoring queries over the whole graph, with their oracle SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.catalog import query
+from lacuna.functions.text import specificity
+from lacuna.operators import candidates, detect, evaluation, gate, graph, paths, score, stability
+from lacuna.plans.runtime import Scratch, table
+from lacuna.queries_corpus import token_sql
+from lacuna.queries_graph import SNAPSHOT, community_membership, edges, sql
+
+SETTINGS = gate.Settings(snapshot_date=SNAPSHOT)
+_U = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0)"
+
+_GENERIC = "('algorithm','analysis','approach','concept','framework','method','model','our approach','our framework','our method','proposed approach','proposed framework','proposed method','research','system','technique','this paper','this work')"
+
+
+@query(
+    sql(
+        f"""SELECT node, round(CASE WHEN node IN {_GENERIC} OR len(t) = 0 THEN 0 ELSE 0.75 * (1 - len(list_filter(t, lambda x: x IN {_GENERIC})) / len(t)) + 0.25 * least(len(t) / 3.0, 1) END, 9) AS specificity FROM n""",
+        f", n AS (SELECT node, {token_sql('node')} AS t FROM (SELECT DISTINCT node FROM ends))",
+    )
+)
+def entity_specificity(spark: SparkSession, d: str) -> DataFrame:
+    nodes = graph.endpoints(edges(spark, d)).select("node").distinct()
+    return nodes.select("node", F.round(specificity(F.array("node")), 9).alias("specificity"))
+
+
+_ENT = f""", ent AS (SELECT 'missing_link | ' || head || ' | ' || tail AS candidate, 'missing_link' AS family, unnest([0, 1]) AS no, unnest([head, tail]) AS label, NULL::INTEGER AS peak FROM links
+  UNION ALL SELECT 'temporal_decay | ' || node, 'temporal_decay', 0, node, peak_year FROM decay WHERE CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END >= 0.3),
+tk AS (SELECT *, {token_sql("label")} AS t FROM ent),
+dt AS (SELECT DISTINCT doc, year, unnest({token_sql("text")}) AS token FROM (SELECT seq AS doc, year, lower(concat_ws(' ', nullif(title, ''), nullif(abstract, ''))) AS text FROM papers)),
+grp AS (SELECT candidate, family, no, peak, len(t) AS k, unnest(t) AS token FROM tk WHERE len(t) > 0),
+hit AS (SELECT candidate, family, no, peak, doc, year FROM grp JOIN dt USING (token) GROUP BY ALL, k HAVING count(*) >= greatest(1, ceil(k * 0.6 - 1e-9))),
+ne AS (SELECT candidate, count(DISTINCT no) AS n FROM grp GROUP BY candidate),
+clo AS (SELECT h.candidate, doc FROM hit h JOIN ne ON ne.candidate = h.candidate GROUP BY h.candidate, family, n, peak, doc, year
+  HAVING (n >= 2 AND count(DISTINCT no) >= 2) OR (family = 'temporal_decay' AND n = 1 AND year > coalesce(peak, 0)))"""
+
+
+def _detected(spark: SparkSession, d: str, scratch: Scratch, clusters: bool = True) -> tuple[DataFrame, DataFrame]:
+    e = scratch.save(edges(spark, d), "edges")
+    links = detect.common_neighbor_links(graph.simple(e))
+    decays = detect.temporal_decay(e, snapshot_date=SNAPSHOT)
+    if not clusters:
+        return e, scratch.save(candidates.table(links, None, None, decays), "candidates")
+    pairs, member = community_membership(spark, d)
+    return e, scratch.save(candidates.table(links, detect.orphan_clusters(pairs, member), member, decays), "candidates")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return gate.documents(table(spark, d, "papers"), "seq")
+
+
+@query(sql("SELECT candidate, count(*) AS hits FROM clo GROUP BY candidate", _ENT.replace("GROUP BY ALL, k HAVING", "GROUP BY candidate, family, no, peak, doc, year, k HAVING")))
+def closure_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Papers that already mention what a candidate says is missing or in decline."""
+    _, c = _detected(spark, d, Scratch(spark, "closure"), clusters=False)
+    named = c.select("candidate", "family", F.posexplode(F.slice("entities", 1, 6)).alias("entity_no", "label"), "peak_year")
+    return gate.closure_hits(named, _docs(spark, d)).groupBy("candidate").agg(F.count("*").alias("hits"))
+
+
+_INC = """, con AS (SELECT node AS concept FROM decay WHERE CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END >= 0.3),
+inc AS (SELECT concept, edge_seq, year, coalesce(source_paper, 'event-' || edge_seq) AS paper, source_paper IS NOT NULL AS has_paper FROM ends JOIN con ON concept = node),
+rep AS (SELECT *, unnest(range(1, 21)) AS r FROM inc),
+kept AS (SELECT * FROM rep WHERE {keep}),
+y AS (SELECT concept, r, k.year, count(DISTINCT paper) / greatest(coalesce(max(publications), 0), 1) AS rate FROM kept k LEFT JOIN pubs p ON p.year = k.year WHERE k.year IS NOT NULL GROUP BY 1, 2, 3),
+l AS (SELECT concept, r, max(year) AS last, count(*) AS n FROM y GROUP BY 1, 2),
+g AS (SELECT y.concept, y.r, n, sum(CASE WHEN last - year < 2 THEN rate ELSE 0 END) AS recent, sum(CASE WHEN last - year BETWEEN 2 AND 3 THEN rate ELSE 0 END) AS earlier FROM y JOIN l ON l.concept = y.concept AND l.r = y.r GROUP BY 1, 2, 3),
+ok AS (SELECT concept, count(*) AS s FROM g WHERE n >= 2 AND CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END >= 0.3 GROUP BY 1)"""
+
+
+def _decay_stability(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    scratch = Scratch(spark, "stability")
+    e = scratch.save(edges(spark, d), "edges")
+    concepts = detect.temporal_decay(e, snapshot_date=SNAPSHOT).select("concept")
+    ev = scratch.save(stability.incident(e, concepts), "events")
+    x = stability.decay_survival(ev, detect.papers_per_year(e), mode, None, 0.8, repeats=20)
+    return x.withColumn("survival", F.round("survival", 9))
+
+
+_SURVIVAL = "SELECT con.concept, round(coalesce(s, 0) / 20.0, 9)::DOUBLE AS survival FROM con LEFT JOIN ok ON ok.concept = con.concept WHERE con.concept IN (SELECT concept FROM inc)"
+
+
+@query(sql(_SURVIVAL, _INC.replace("{keep}", _U.format("'42|edge|' || r || '|' || concept || '|' || edge_seq") + " <= 0.8")))
+def edge_dropout_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Share of 20 replicates in which a decline survives the loss of a fifth of the relation events."""
+    return _decay_stability(spark, d, "edge")
+
+
+@query(sql(_SURVIVAL, _INC.replace("{keep}", "has_paper AND " + _U.format("'42|paper|' || r || '|' || concept || '|' || paper") + " <= 0.8")))
+def paper_dropout_stability(spark: SparkSession, d: str) -> DataFrame:
+    return _decay_stability(spark, d, "paper")
+
+
+@query()
+def link_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Survival of the top link candidates by mode."""
+    scratch = Scratch(spark, "links")
+    e = scratch.save(edges(spark, d), "edges")
+    links = scratch.save(detect.common_neighbor_links(graph.simple(e)), "links")
+    p = scratch.save(paths.independent_paths(e, links, 4), "paths")
+    a = stability.link_survival(p, "edges", "edge").withColumnRenamed("survival", "edge_deletion")
+    b = stability.link_survival(p, "papers", "paper").withColumnRenamed("survival", "paper_dropout")
+    n = p.groupBy("head", "tail").agg(F.count("*").alias("paths"))
+    c = stability.link_addition_survival(n, candidates.plausible_direct(e, links)).withColumnRenamed("survival", "plausible_edge_addition")
+    return a.join(b, ["head", "tail"]).join(c, ["head", "tail"]).withColumn("aggregate", F.least("edge_deletion", "paper_dropout", "plausible_edge_addition"))
+
+
+def _decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "gate")
+    e, c = _detected(spark, d, scratch)
+    return e, scratch.save(gate.decide(candidates.facts(e, c, _docs(spark, d), SETTINGS, searched=True), SETTINGS), "decisions")
+
+
+@query()
+def gate_decisions(spark: SparkSession, d: str) -> DataFrame:
+    x = _decisions(spark, d)[1]
+    return x.select("candidate", "family", "status", "ranking_score", F.array_join("reasons", ",").alias("reasons"), "papers", "paths", "stability", "specificity", "closure_hits")
+
+
+@query()
+def gate_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return gate.status_counts(_decisions(spark, d)[1])
+
+
+@query()
+def composite_score_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 best candidates that the gate did not reject."""
+    e, x = _decisions(spark, d)
+    x = x.where("status != 'rejected'")
+    x = x.join(candidates.mean_centrality(x, graph.degree_centrality(e)), "candidate", "left")
+    return score.rank_candidates(x, 30, tie="candidate").select("rank", "candidate", "family", "raw_composite_score", "composite_score")
+
+
+_ALL = """, cand AS (SELECT 'missing_link | ' || head || ' | ' || tail AS candidate, 'missing_link' AS family, least(abs(prediction_score) / 10, 1) AS p, NULL::DOUBLE AS dk, unnest([head, tail]) AS node FROM links
+  UNION ALL SELECT 'temporal_decay | ' || node, 'temporal_decay', NULL, 1 - recent / earlier, node FROM decay WHERE earlier > 0 AND 1 - recent / earlier >= 0.3),
+dc AS (SELECT node, count(*) / (SELECT count(DISTINCT node) - 1 FROM ends) AS c FROM (SELECT unnest([u, v]) AS node FROM (SELECT DISTINCT u, v FROM e)) GROUP BY node),
+met AS (SELECT candidate, family, p, dk, avg(coalesce(c, 0)) AS c FROM cand LEFT JOIN dc ON dc.node = cand.node GROUP BY 1, 2, 3, 4),
+raw AS (SELECT candidate, family, (0.15 * c + coalesce(0.25 * p, 0) + coalesce(0.25 * dk, 0)) / (0.15 + 0.25) AS s FROM met)"""
+
+
+def _unvalidated(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "score")
+    e, c = _detected(spark, d, scratch, clusters=False)
+    c = c.join(candidates.mean_centrality(c, graph.degree_centrality(e)), "candidate", "left")
+    return c.withColumn("ranking_score", F.lit(None).cast("double"))
+
+
+@query(sql("SELECT candidate, family, round(s, 8) AS raw_composite_score, round((s - (SELECT min(s) FROM raw)) / CASE WHEN (SELECT max(s) FROM raw) > (SELECT min(s) FROM raw) THEN (SELECT max(s) - min(s) FROM raw) ELSE 1 END, 8) AS composite_score FROM raw", _ALL))
+def composite_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all unvalidated link and decay candidates."""
+    x = score.metric_columns(_unvalidated(spark, d)).withColumn("raw_composite_score", score.composite())
+    x = score.min_max(x, "raw_composite_score", "composite_score")
+    return x.select("candidate", "family", F.round("raw_composite_score", 8).alias("raw_composite_score"), F.round("composite_score", 8).alias("composite_score"))
+
+
+@query(
+    sql(
+        """SELECT unnest(['TransE only', 'Louvain only', 'Temporal decay only', 'TransE + Louvain', 'TransE + Decay', 'Louvain + Decay', 'All three (full)']) AS configuration,
+  unnest([ml, 0, td, ml, ml + td, td, ml + td]) AS gaps FROM (SELECT count(*) FILTER (WHERE family = 'missing_link') AS ml, count(*) FILTER (WHERE family = 'temporal_decay') AS td FROM raw)""",
+        _ALL,
+    )
+)
+def ablation_counts(spark: SparkSession, d: str) -> DataFrame:
+    return score.ablation(_unvalidated(spark, d))
+
+
+@query()
+def gate_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates each reduced contract would let through."""
+    x = evaluation.ablation_predictions(_decisions(spark, d)[1])
+    names = ["provenance_only", "specificity_only", "path_diversity_only", "perturbation_only", "hard_contract_without_perturbation", "full_without_coverage_screen", "full_evidence_contract"]
+    row = x.agg(*[F.sum(c).alias(c) for c in names])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("contract"), F.coalesce(F.col(c), F.lit(0)).alias("passed")) for c in names])).alias("x")).select("x.*")
