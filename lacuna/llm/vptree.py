@@ -225,7 +225,7 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str], t: float = 0.8, k
     gives empty results; columns of other names are not read.
     """
     scratch = Scratch(df.sparkSession, "neardup")
-    rows = df.select(F.col(key).cast("long").alias("key"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(texts)])
+    rows = df.select(F.col(key).cast("long").alias("key"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(texts)]).where("key is not null")
     texts = [f"t{i}" for i in range(len(texts))]
     digests, counts = G.first_pass(rows, "key", texts, scratch, k, min_words)
     same = G.classes(digests, scratch)
