@@ -35,9 +35,12 @@ def table(links: DataFrame | None, clusters: DataFrame | None, members: DataFram
     return out
 
 
-def plausible_direct(edges: DataFrame, links: DataFrame, max_item: int = 5) -> DataFrame:
-    """(head, tail, item): for a link candidate the search for direct evidence: events of either end with a name that contains the other's (an extension; Q33)."""
-    e = graph.endpoints(edges).select("node", "edge_seq").join(edges.select("edge_seq", F.lower(F.coalesce("evidence", F.lit(""))).alias("evidence")), "edge_seq")
+def plausible_direct(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(head, tail, item): the search for direct evidence of a link candidate (an extension; Q33).
+
+    An item is a relation event at the head whose evidence text names the tail.
+    """
+    e = edges.select("edge_seq", F.lower(F.coalesce("evidence", F.lit(""))).alias("evidence"), F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
     x = links.select("head", "tail").join(e.withColumnRenamed("node", "head"), "head").where(F.contains("evidence", "tail"))
     return x.select("head", "tail", F.col("edge_seq").alias("item")).distinct()
 

@@ -14,7 +14,7 @@ def tumbling(events: DataFrame, size: str, late: str | None = None) -> DataFrame
     is still open is left out.
     """
     if events.isStreaming:
-        events = events.withWatermark("ts", late or "0 seconds")
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late or "0 seconds")
         users = F.approx_count_distinct("user_id", 0.01)
     else:
         users = F.count_distinct("user_id")
