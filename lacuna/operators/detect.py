@@ -15,25 +15,85 @@ def two_hop_pairs(pairs: DataFrame) -> DataFrame:
 
     A self-join on the middle node; the adaptive skew join splits hubs.
     """
+    return _two_hop_among(pairs, None)
+
+
+def _two_hop_among(pairs: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """two_hop_pairs whose two ends are in (node)."""
     adj = graph.both_ways(pairs)
-    left, right = adj.toDF("mid", "head"), adj.toDF("mid", "tail")
+    to = adj if ends is None else adj.join(ends.toDF("other"), "other", "left_semi").select("node", "other")
+    left, right = to.toDF("mid", "head"), to.toDF("mid", "tail")
     hops = left.join(right, "mid").where("head < tail").groupBy("head", "tail").agg(F.count("*").alias("common_neighbors"))
     return hops.join(pairs.toDF("head", "tail"), ["head", "tail"], "left_anti")
 
 
+def _named(best: DataFrame, nodes: DataFrame, *order) -> DataFrame:
+    """The few best rows with the nodes' names instead of their numbers."""
+    few = F.broadcast(best)  # top_k rows
+    x = nodes.toDF("head_id", "head").join(few, "head_id")
+    x = nodes.toDF("tail_id", "tail").join(F.broadcast(x), "tail_id")  # top_k rows
+    return x.select("head", F.lit("RELATED_TO").alias("relation"), "tail", "prediction_score", "common_neighbors").orderBy(*order)
+
+
 def common_neighbor_links(pairs: DataFrame, top_k: int = 50) -> DataFrame:
-    """The top_k pairs by 10 * common / sqrt(degree * degree), then count, head and tail, all descending."""
-    deg = graph.degrees(pairs)
-    x = two_hop_pairs(pairs).join(deg.toDF("head", "dh"), "head").join(deg.toDF("tail", "dt"), "tail")
+    """The top_k pairs by 10 * common / sqrt(degree * degree), then count, head and tail, all descending.
+
+    No pair scores above 10, and only twins (nodes with the same neighbours)
+    reach it.  Where there are top_k pairs of twins they are the answer, and the
+    two-hop join, which is quadratic in a hub's degree, is not made.  The join
+    runs over numbers that have the names' order.
+    """
+    scratch = Scratch(pairs.sparkSession, "links")
+    nodes, p = graph.numbered(pairs, scratch)
+    x = scratch.save(_twins(p, top_k), "twins")
+    if x.count() < top_k:
+        deg = graph.degrees(p)
+        x = two_hop_pairs(p).join(deg.toDF("head", "dh"), "head").join(deg.toDF("tail", "dt"), "tail")
     score = F.lit(10.0) * (F.col("common_neighbors") / F.sqrt((F.col("dh") * F.col("dt")).cast("double")))
-    x = x.select("head", F.lit("RELATED_TO").alias("relation"), "tail", score.alias("prediction_score"), "common_neighbors")
-    return x.orderBy(F.desc("prediction_score"), F.desc("common_neighbors"), F.desc("head"), F.desc("tail")).limit(top_k)
+    x = x.select(F.col("head").alias("head_id"), F.col("tail").alias("tail_id"), score.alias("prediction_score"), "common_neighbors")
+    best = x.orderBy(F.desc("prediction_score"), F.desc("common_neighbors"), F.desc("head_id"), F.desc("tail_id")).limit(top_k)
+    return _named(best, nodes, F.desc("prediction_score"), F.desc("common_neighbors"), F.desc("head"), F.desc("tail"))
+
 
+def _twins(p: DataFrame, top_k: int) -> DataFrame:
+    """(head, tail, common_neighbors, dh, dt) of the top_k pairs of nodes with the same neighbours, or fewer.
 
-def structural_missing_links(pairs: DataFrame, top_k: int = 50) -> DataFrame:
-    """The top_k pairs by number of common neighbours, then head and tail ascending; the count is the score."""
-    x = two_hop_pairs(pairs).select("head", F.lit("RELATED_TO").alias("relation"), "tail", F.col("common_neighbors").cast("double").alias("prediction_score"), "common_neighbors")
-    return x.orderBy(F.desc("common_neighbors"), "head", "tail").limit(top_k)
+    Neighbourhoods are told apart by two sums of hashes, which add up before they
+    are shuffled; the pairs that come out are counted exactly.  Of a group only
+    its top_k + 1 last nodes can be in the answer.
+    """
+    adj = graph.both_ways(p)
+    sums = [F.sum(F.xxhash64(F.lit(i), "other").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    sig = adj.groupBy("node").agg(F.count("*").alias("degree"), *sums)
+    last = Window.partitionBy("degree", "s1", "s2").orderBy(F.desc("node"))
+    sig = sig.withColumn("n", F.row_number().over(last)).where(F.col("n") <= top_k + 1)
+    key = ["degree", "s1", "s2"]
+    x = sig.select(*key, F.col("node").alias("head")).join(sig.select(*key, F.col("node").alias("tail")), key).where("head < tail")
+    x = x.select("head", "tail", "degree").orderBy(F.desc("degree"), F.desc("head"), F.desc("tail")).limit(top_k)
+    few = F.broadcast(x)  # top_k rows
+    near = adj.toDF("head", "mid").join(few, "head").join(adj.toDF("tail", "mid"), ["tail", "mid"])
+    exact = near.groupBy("head", "tail", "degree").agg(F.count("*").alias("common_neighbors")).where("common_neighbors = degree")
+    return exact.select("head", "tail", "common_neighbors", F.col("degree").alias("dh"), F.col("degree").alias("dt"))
+
+
+def structural_missing_links(pairs: DataFrame, top_k: int = 50, probe: int = 256) -> DataFrame:
+    """The top_k pairs by number of common neighbours, then head and tail ascending; the count is the score.
+
+    A pair has no more neighbours in common than its smaller degree.  The top_k
+    count among the ``probe`` nodes of the highest degrees is therefore a degree
+    below which no node can be in the answer, and those nodes stay out of the
+    join.
+    """
+    scratch = Scratch(pairs.sparkSession, "links")
+    nodes, p = graph.numbered(pairs, scratch)
+    deg = scratch.save(graph.degrees(p), "degrees")
+    some = deg.orderBy(F.desc("degree"), "node").limit(probe).select("node")
+    counts = _two_hop_among(p, some).orderBy(F.desc("common_neighbors")).limit(top_k).agg(F.count("*"), F.min("common_neighbors")).first()
+    least = counts[1] if counts[0] == top_k else 1
+    x = _two_hop_among(p, deg.where(F.col("degree") >= least).select("node"))
+    x = x.select(F.col("head").alias("head_id"), F.col("tail").alias("tail_id"), F.col("common_neighbors").cast("double").alias("prediction_score"), "common_neighbors")
+    best = x.orderBy(F.desc("common_neighbors"), "head_id", "tail_id").limit(top_k)
+    return _named(best, nodes, F.desc("common_neighbors"), "head", "tail")
 
 
 def embedding_candidates(edges: DataFrame, relations: DataFrame) -> DataFrame:
@@ -58,27 +118,29 @@ def translation_scores(candidates: DataFrame, entity_vectors: DataFrame, relatio
     return x.orderBy(F.desc("prediction_score"), "head", "relation", "tail").limit(top_k) if top_k else x
 
 
-def communities(pairs: DataFrame, rounds: int = 12, levels: int = 8, seed: int = 42) -> DataFrame:
+def communities(pairs: DataFrame, rounds: int = 10, levels: int = 8, seed: int = 42, settle: int = 20) -> DataFrame:
     """(node, community) by modularity, for the simple graph's nodes.
 
     Local moving runs for all nodes at once: each looks at the communities of
     its neighbours and joins the best one if modularity gains; in a round half
     of the nodes (by a hash of node and round) may move, so that neighbours do
     not swap places for ever.  Communities then become nodes and the next level
-    begins, until nothing moves.  A community is named by its smallest node.
+    begins, once fewer than one node in ``settle`` moves, until nothing does.  A community is named by its smallest node.
     Fixed by ``seed``; not the partition of any other Louvain program.
     """
     scratch = Scratch(pairs.sparkSession, "communities")
+    numbers, pairs = graph.numbered(pairs, scratch)
     w = scratch.save(graph.both_ways(pairs).select(F.col("node").alias("x"), F.col("other").alias("y"), F.lit(1.0).alias("w")), "weights")
     m2 = w.agg(F.sum("w")).first()[0]
     member = scratch.save(w.select(F.col("x").alias("node"), F.col("x").alias("c")).distinct(), "members")
+    names = numbers.toDF("node", "name")
     if not m2:
-        return member.toDF("node", "community")
+        return numbers.select("node", F.col("node").alias("community")).limit(0)
     for level in range(levels):
         k = w.groupBy("x").agg(F.sum("w").alias("k"))
         own = scratch.save(k.select("x", "k", F.col("x").alias("c")), "own")
-        moved_any = False
-        for turn in range(rounds):
+        n, moved_any = own.count(), False
+        for turn in range(rounds if level == 0 else (rounds + 1) // 2):
             tot = own.groupBy("c").agg(F.sum("k").alias("tot"))
             near = w.where("x != y").join(own.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("into"))
             here = own.select("x", "k", F.col("c").alias("mine")).join(tot.withColumnRenamed("c", "mine").withColumnRenamed("tot", "mytot"), "mine")
@@ -90,20 +152,21 @@ def communities(pairs: DataFrame, rounds: int = 12, levels: int = 8, seed: int =
             x = here.join(best, "x", "left")
             better = F.coalesce((F.col("best.gain") > F.coalesce("stay_gain", alone) + 1e-12) & may, F.lit(False))
             after = scratch.save(x.select("x", "k", F.when(better, F.col("best.c")).otherwise(F.col("mine")).alias("c"), better.alias("moved")), f"own{level}-{turn}")
-            moves = after.where("moved").limit(1).count()
+            moves = after.where("moved").count()
             scratch.drop(own)
             own = after.drop("moved")
             moved_any |= moves > 0
-            if not moves and turn % 2:
+            if moves * settle < n and turn % 2:  # the next level goes on with the rest
                 break
         if not moved_any:
             break
-        names = own.groupBy("c").agg(F.min("x").alias("name"))
-        own = scratch.save(own.join(names, "c").select("x", F.col("name").alias("c")), "named")
+        first = own.groupBy("c").agg(F.min("x").alias("first"))
+        own = scratch.save(own.join(first, "c").select("x", F.col("first").alias("c")), "named")
         member = scratch.save(member.join(own.select(F.col("x").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")), "members")
         w = scratch.save(w.join(own.select("x", F.col("c").alias("cx")), "x").join(own.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")), "weights")
-    names = member.groupBy("c").agg(F.min("node").alias("community"))
-    return member.join(names, "c").select("node", "community")
+    first = member.groupBy("c").agg(F.min("node").alias("first"))
+    x = member.join(first, "c").select("node", "first").join(names, "node").select("name", "first")
+    return x.join(names.toDF("first", "community"), "first").select(F.col("name").alias("node"), "community")
 
 
 def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:

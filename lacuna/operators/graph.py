@@ -92,6 +92,18 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("node", "other")
 
 
+def numbered(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, node), pairs of ids): numbers in the order of the names, written once so that they stay.
+
+    A global sort ranges the names over partitions; a row's number is its
+    partition's number and its place there, so nothing is counted in one place.
+    """
+    ordered = both_ways(pairs).select("node").distinct().orderBy("node")
+    nodes = scratch.save(ordered.select(F.monotonically_increasing_id().alias("id"), "node"), "nodes")
+    p = pairs.join(nodes.toDF("ia", "a"), "a").join(nodes.toDF("ib", "b"), "b")
+    return nodes, scratch.save(p.select(F.col("ia").alias("a"), F.col("ib").alias("b")), "pairs")
+
+
 def degrees(pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).groupBy("node").agg(F.count("*").alias("degree"))
 

@@ -50,8 +50,8 @@ def _detected(spark: SparkSession, d: str, scratch: Scratch, clusters: bool = Tr
     return e, scratch.save(candidates.table(links, detect.orphan_clusters(pairs, member), member, decays), "candidates")
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return gate.documents(table(spark, d, "papers"), "seq")
+def _docs(spark: SparkSession, d: str, normalise: bool = True) -> DataFrame:
+    return gate.documents(table(spark, d, "papers"), "seq", normalise)
 
 
 @query(sql("SELECT candidate, count(*) AS hits FROM clo GROUP BY candidate", _ENT.replace("GROUP BY ALL, k HAVING", "GROUP BY candidate, family, no, peak, doc, year, k HAVING")))
@@ -59,7 +59,7 @@ def closure_hits(spark: SparkSession, d: str) -> DataFrame:
     """Papers that already mention what a candidate says is missing or in decline."""
     _, c = _detected(spark, d, Scratch(spark, "closure"), clusters=False)
     named = c.select("candidate", "family", F.posexplode(F.slice("entities", 1, 6)).alias("entity_no", "label"), "peak_year")
-    return gate.closure_hits(named, _docs(spark, d)).groupBy("candidate").agg(F.count("*").alias("hits"))
+    return gate.closure_hits(named, _docs(spark, d, normalise=False)).groupBy("candidate").agg(F.count("*").alias("hits"))
 
 
 _INC = """, con AS (SELECT node AS concept FROM decay WHERE CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END >= 0.3),
