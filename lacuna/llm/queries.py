@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.ids import id_form
 from lacuna.functions.names import key_column
 from lacuna.llm import chunking, components, history, mixing, spans, tokens, vocabulary, vptree
-from lacuna.plans.runtime import table
+from lacuna.plans.runtime import Scratch, table
 
 LIKENESS = 0.7
 SHINGLE = 3
@@ -54,6 +54,19 @@ def p5_decisions(spark: SparkSession, d: str) -> DataFrame:
     return history.screen(papers, "seq", "id", ["title", "abstract"], [F.coalesce("batch_no", F.lit(-1))], LIKENESS, SHINGLE, MIN_WORDS)
 
 
+def p5_appends(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, accepted) by four appends to a stored index: the first collection, then eight batches at a time."""
+    papers = table(spark, d, "papers").withColumn("id", id_form(F.col("paperId"))).withColumn("batch", F.coalesce("batch_no", F.lit(-1)))
+    scratch = Scratch(spark, "appends")
+    index = history.Index(spark, f"{scratch.root}/index", ["title", "abstract"], "id", LIKENESS, SHINGLE, MIN_WORDS)
+    out = None
+    for low, high in ((None, 0), (1, 8), (9, 16), (17, None)):
+        step = papers.where("true" if low is None else f"batch >= {low}").where("true" if high is None else f"batch <= {high}")
+        done = index.add(step, "seq", [F.col("batch")])
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_decisions(spark, d).where("not accepted").select("seq")
 
@@ -101,8 +114,19 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_groups, p5_found, p5_decisions, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_groups, p5_found, p5_decisions, p5_appends, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+
+
+_P3 = """WITH w AS (SELECT seq, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') AS w FROM papers),
+s AS (SELECT DISTINCT seq, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT seq, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+n AS (SELECT seq, count(*) AS n FROM s GROUP BY seq),
+c AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2)
+SELECT seq_a, seq_b FROM c JOIN n x ON x.seq = seq_a JOIN n y ON y.seq = seq_b WHERE i >= 0.7 * (x.n + y.n - i) - 1e-9"""
+
+_P9 = """WITH d AS (SELECT DISTINCT doc_id, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+m AS (SELECT s FROM d GROUP BY s HAVING count(*) > 1), x AS (SELECT d.* FROM d JOIN m ON m.s = d.s)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000"}
+    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000", "p3_found": _P3, "p9_found": _P9}
