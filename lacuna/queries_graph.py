@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.catalog import query
-from lacuna.operators import detect, graph, paths, provenance, resolve
+from lacuna.operators import detect, embedding, graph, paths, provenance, reports, resolve
 from lacuna.plans.runtime import Scratch, table
 
 SNAPSHOT = "2026-04-30"
@@ -246,3 +246,24 @@ def fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("occurrences"), F.min("p_partkey").alias("seq")).where("name is not null")
     names = Scratch(spark, "names").save(names, "names")
     return resolve.greedy_merge(names, resolve.fuzzy_pairs(names.select("name"), 85))
+
+
+@query()
+def embedding_links(spark: SparkSession, d: str) -> DataFrame:
+    """Unobserved statements over the 5,000 pairs with most common neighbours, by translation embeddings."""
+    e = Scratch(spark, "embedding").save(edges(spark, d), "edges")
+    return embedding.links(e, detect.structural_missing_links(graph.simple(e), 5000), 50, dim=16, epochs=5)
+
+
+@query(
+    sql("""SELECT bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high, count(*) AS n
+FROM (SELECT least(floor((degree - lo) / w), 29)::INTEGER AS bin, lo, w FROM deg, (SELECT min(degree)::DOUBLE AS lo, (max(degree) - min(degree)) / 30.0::DOUBLE AS w FROM deg)) GROUP BY bin, lo, w""")
+)
+def degree_histogram(spark: SparkSession, d: str) -> DataFrame:
+    h = reports.histogram(graph.degrees(graph.simple(edges(spark, d))), "degree", 30)
+    return h.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
+
+
+@query(sql("SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 10"))
+def top_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return reports.top(graph.degrees(graph.simple(edges(spark, d))), "degree", 10, "node")
