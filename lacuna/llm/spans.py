@@ -105,22 +105,23 @@ _EITHER = "((ba = bb and ba != 0) or (aa = ab and aa != 0) or la >= {span})"
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(stretch, doc): hashes of all stretches of ``span`` characters that hold a wanted (doc, start, len)."""
+    """(stretch, doc, at): hashes and places of all stretches of ``span`` characters that hold a wanted (doc, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
         for batch in batches:
-            out, who = [], []
+            out, who, where = [none.view(np.uint64)], [none], [none]
             for doc, text, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cps, _ = gear.code_points([text])
-                h = gear.windows(cps, span)
+                h = gear.windows(gear.code_points([text])[0], span)
                 start, size = place >> 20, place & ((1 << 20) - 1)
-                own = np.unique(h[max(0, start + size - span) : start + 1])
-                out.append(own)
-                who.append(np.full(len(own), doc))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.empty(0, np.uint64)]).view(np.int64)), pa.array(np.concatenate(who or [np.empty(0, np.int64)]))], names=["stretch", "doc"])
+                at = np.arange(max(0, start + size - span), min(start, len(h) - 1) + 1)
+                out.append(h[at])
+                who.append(np.full(len(at), doc))
+                where.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(where))], names=["stretch", "doc", "at"])
 
     rows = G.only(docs, "doc", wanted.select(F.col("doc").alias("key")).distinct()).join(wanted.select("doc", "place"), "doc")
-    return rows.select("doc", "text", "place").mapInArrow(run, "stretch bigint, doc bigint").distinct()
+    return rows.select("doc", "text", "place").mapInArrow(run, "stretch bigint, doc bigint, at bigint").distinct()
 
 
 def shared_intervals(a: str, b: str, span: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -203,9 +204,11 @@ class SharedSpans:
         found.append(_joined(sides.where(f"n <= {large}"), "near", either))
         wanted = sides.where(f"n > {large}").select("doc", "place").distinct()
         stretches = _stretches(self.docs, s.save(wanted, "wanted"), span)
-        stretches = s.save(stretches.withColumn("n", F.count("*").over(Window.partitionBy("stretch"))).where("n > 1"), "stretches")
-        x = stretches.select("stretch", F.col("doc").alias("a"))
-        self.by_stretch = x.join(stretches.select("stretch", F.col("doc").alias("b")), "stretch").where("a < b").select("a", "b").distinct()
+        same = Window.partitionBy("stretch")
+        stretches = stretches.withColumns({"low": F.min("doc").over(same), "high": F.max("doc").over(same)}).where("low < high")
+        self.stretches = s.save(stretches.select("stretch", "doc", "at"), "stretches")
+        who = self.stretches.select("stretch", "doc").distinct()
+        self.by_stretch = who.toDF("stretch", "a").join(who.toDF("stretch", "b"), "stretch").where("a < b").select("a", "b").distinct()
         runs = found[0].unionByName(found[1]).groupBy("a", "b", "shift").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
         # The longest run of touching chunks on the diagonal.
         grow = lambda acc, r: F.when(r.lo <= acc.hi, F.struct(acc.lo.alias("lo"), F.greatest(acc.hi, r.hi).alias("hi"), F.greatest(acc.best, F.greatest(acc.hi, r.hi) - acc.lo).alias("best"))).otherwise(F.struct(r.lo.alias("lo"), r.hi.alias("hi"), F.greatest(acc.best, r.hi - r.lo).alias("best")))
@@ -230,12 +233,14 @@ class SharedSpans:
     def coverage(self) -> DataFrame:
         """(doc, n_chars, shared_chars): how many characters of each text lie in spans that another text has too.
 
-        Texts below the span length are not listed.
+        Texts below the span length are not listed.  Boilerplate counts by its
+        stretches, without pairing up the texts that hold it.
         """
-        pairs = self.scratch.save(self.candidates.select("a", "b").unionByName(self.by_stretch).distinct(), "compare")
-        cmp = _compared(pairs, self.docs, self.scratch, self.span)
+        cmp = _compared(self.candidates.select("a", "b"), self.docs, self.scratch, self.span)
         parts = cmp.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("in_a").alias("parts")), F.struct(F.col("b").alias("doc"), F.col("in_b").alias("parts")))).alias("x"))
-        parts = parts.select("x.doc", F.explode("x.parts").alias("p")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("parts"))
+        parts = parts.select("x.doc", F.explode("x.parts").alias("p"))
+        parts = parts.unionByName(self.stretches.select("doc", F.struct(F.col("at").alias("lo"), (F.col("at") + self.span).alias("hi")).alias("p")))
+        parts = parts.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("p")).alias("parts"))
         start = F.struct(F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("sum"))
         step = lambda acc, r: F.struct(F.greatest(acc.hi, r.hi).alias("hi"), (acc["sum"] + F.greatest(F.lit(0), r.hi - F.greatest(acc.hi, r.lo))).alias("sum"))
         shared = parts.select("doc", F.aggregate("parts", start, step)["sum"].alias("in_parts"))
