@@ -82,7 +82,7 @@ def document_text(*cols: Column) -> Column:
 def extract_field(col: Column, name: str, labels: tuple[str, ...]) -> Column:
     """What follows ``name:`` up to the next of the labels or the end, trimmed; '' where it is missing."""
     stop = "|".join(labels)
-    return F.trim(F.regexp_replace(F.regexp_extract(col, rf"(?is){name}:\s*(.*?)(?=\s*(?:{stop}):|\z)", 1), r"^\s+|\s+$", ""))
+    return F.trim(F.regexp_replace(F.regexp_extract(col, rf"(?s){name}:\s*(.*?)(?=\s*(?:{stop}):|\z)", 1), r"^\s+|\s+$", ""))
 
 
 def duration_seconds(col: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Labels that are never drawn.
-BAD_LABELS = ("system", "model", "method", "approach", "framework", "our method", "this paper", "our approach", "the model", "proposed method")
+BAD_LABELS = ("proposed method", "our method", "the model", "this paper", "our approach", "the proposed method", "this work", "our framework", "proposed approach", "method")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -117,6 +117,16 @@ def decay_survival(events: DataFrame, publications: DataFrame, mode: str, end_ye
     return events.select("concept").distinct().join(ok, "concept", "left").select("concept", F.coalesce("s", F.lit(0.0)).alias("survival"))
 
 
+def decay_addition_survival(events: DataFrame, plausible: DataFrame, publications: DataFrame, end_year: int | None = None, probability: float = 0.5, repeats: int = 50, seed: int = 42, lookback: int = 2, threshold: float = 0.3) -> DataFrame:
+    """(concept, survival) with each plausible event (concept, item, year, paper) added by chance to all observed ones."""
+    own = replicates(events.select("concept", "year", "paper"), repeats)
+    drawn = _kept(seed, "add", F.concat_ws("|", "concept", F.col("item").cast("string")), probability)
+    more = replicates(plausible.select("concept", "item", "year", F.coalesce("paper", F.concat(F.lit("plausible-"), F.col("item").cast("string"))).alias("paper")), repeats).where(drawn)
+    d = gate_decay(own.unionByName(more.select("concept", "year", "paper", "replicate")), publications, end_year, lookback, ("concept", "replicate"))
+    ok = d.where((F.col("decay") >= threshold) & (F.col("active_years") >= 2)).groupBy("concept").agg((F.count("*") / F.lit(float(repeats))).alias("s"))
+    return events.select("concept").distinct().join(ok, "concept", "left").select("concept", F.coalesce("s", F.lit(0.0)).alias("survival"))
+
+
 def aggregate(*modes: Column) -> Column:
     """The least of the modes that could be evaluated."""
     return F.least(*modes) if len(modes) > 1 else modes[0]

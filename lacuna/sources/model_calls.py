@@ -7,6 +7,7 @@ run has answered.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -103,7 +104,9 @@ def screen(papers: DataFrame, template: str, factory: Callable, retries: int = 3
     return p.drop("prompt").join(got.select("paperId", parse_screening(F.col("answer")).alias("screening")), "paperId")
 
 
-GAP_FIELDS = ("GAP", "EVIDENCE", "METHOD", "IMPACT")
+# The labels of a structured answer, and what is added to a topic where no model answers.
+GAP_FIELDS = ("RESEARCH_GAPS", "RESEARCH_DIRECTION", "SOLUTION_APPROACH", "REMAINING_GAPS")
+QUERY_WORDS = ("survey", "framework", "deep learning", "methods")
 
 
 def parse_fields(answer: Column, fields: tuple[str, ...] = GAP_FIELDS) -> list[Column]:
@@ -118,7 +121,13 @@ def parse_gap_list(answer: Column, most: int = 3) -> Column:
     return F.slice(F.coalesce(listed, lines), 1, most)
 
 
-def expand_query(topic: str, answer: str | None = None, most: int = 5) -> list[str]:
-    """The search queries for a topic: a model's lines, or plain templates without one."""
-    lines = [x.strip(" -*0123456789.") for x in (answer or "").splitlines() if x.strip()]
-    return lines[:most] or [topic, f"{topic} survey", f"{topic} methods", f"{topic} challenges", f"{topic} evaluation"][:most]
+def expand_query(topic: str, answer: str | None = None) -> list[str]:
+    """Five search queries for a topic: those of a JSON answer if it holds exactly five, else plain templates."""
+    try:
+        found = json.loads(answer or "null")
+        listed = [q.strip() for q in found["queries"] if isinstance(q, str) and q.strip()]
+        if len(listed) == 1 + len(QUERY_WORDS):
+            return listed
+    except (ValueError, TypeError, KeyError):
+        pass
+    return [topic, *(f"{topic} {w}" for w in QUERY_WORDS)]

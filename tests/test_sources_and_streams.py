@@ -142,7 +142,8 @@ def test_answer_parsers(spark):
     assert tuple(one("no json", model_calls.parse_screening(F.col("x")))) == (False, 0.0, "")
     assert one('```json\n["a", "b", "c", "d"]\n```', model_calls.parse_gap_list(F.col("x"))) == ["a", "b", "c"]
     assert one("first\n\n second\nthird\nfourth", model_calls.parse_gap_list(F.col("x"))) == ["first", "second", "third"]
-    assert model_calls.expand_query("x")[0] == "x" and model_calls.expand_query("x", "1. a\n2. b") == ["a", "b"]
+    assert model_calls.expand_query("x")[0] == "x" and model_calls.expand_query("x", '{"queries": ["a", "b", "c", " d ", "e"]}') == ["a", "b", "c", "d", "e"]
+    assert len(model_calls.expand_query("x", '{"queries": ["a"]}')) == 5 and len(model_calls.expand_query("x", "no json")) == 5
 
 
 def test_stream_of_new_papers(spark, tmp_path):
