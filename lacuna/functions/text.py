@@ -54,9 +54,10 @@ def chunk_words(col: Column, size: int = 1500, overlap: int = 200) -> Column:
 
 def tokens(col: Column) -> Column:
     """Distinct lower-case ASCII tokens without stopwords, also without a version's digits ('oauth2' gives 'oauth' too) (H5)."""
-    found = F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9]+)"), 1)
-    bare = F.transform(found, lambda t: F.regexp_replace(t, "[0-9]+$", ""))
-    return F.array_except(F.array_union(F.array_except(found, F.array(*map(F.lit, STOPWORDS))), F.array_remove(F.filter(F.transform(F.arrays_zip(found.alias("f"), bare.alias("b")), lambda x: F.when(~x.f.isin(*STOPWORDS), x.b).otherwise(F.lit(""))), lambda t: t.isNotNull()), "")), F.array(*map(F.lit, STOPWORDS)))
+    stop = F.array(*map(F.lit, STOPWORDS))
+    kept = F.array_except(F.regexp_extract_all(F.lower(col), F.lit("([a-z0-9]+)"), 1), stop)
+    bare = F.filter(F.transform(kept, lambda t: F.regexp_replace(t, "[0-9]+$", "")), lambda t: t != "")
+    return F.array_except(F.array_union(kept, bare), stop)
 
 
 def specificity(labels: Column) -> Column:

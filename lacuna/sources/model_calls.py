@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import chunk_words, extract_field
+from lacuna.operators import retrieval
 from lacuna.plans.runtime import ship
 
 
@@ -121,6 +122,30 @@ def parse_gap_list(answer: Column, most: int = 3) -> Column:
     return F.slice(F.coalesce(listed, lines), 1, most)
 
 
+def retrieval_baseline(papers: DataFrame, template: str, factory: Callable, queries: DataFrame | None = None, k: int = 3, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(paperId, neighbours, research_gaps, ...): one answer a paper over the abstracts of its k nearest papers.
+
+    papers: (paperId, title, abstract).  queries: (paperId) of the papers to
+    answer for, all by default.  A paper without a neighbour gets an empty
+    context.
+    """
+    docs = papers.where("coalesce(abstract, '') != ''").select(F.col("paperId").alias("doc"), F.concat_ws(" ", "title", "abstract").alias("text"))
+    ask = (docs.select(F.col("doc").alias("query")) if queries is None else queries.select(F.col("paperId").alias("query"))).distinct()
+    near = retrieval.top_similar(retrieval.tfidf(docs), ask, k).join(docs, "doc")
+    context = near.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc", "text"))), lambda x: x.text).alias("texts"), F.sort_array(F.collect_list("doc")).alias("neighbours"))  # k rows
+    x = ask.join(docs.toDF("query", "own"), "query").join(context, "query", "left")
+    x = x.select(F.col("query").alias("paperId"), F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"), fill(template, text=F.col("own"), context=F.array_join(F.coalesce("texts", F.array().cast("array<string>")), "\n\n")).alias("prompt"))
+    got = answers(x, "paperId", "prompt", factory, retries, wait)
+    return x.select("paperId", "neighbours").join(got.select("paperId", *parse_fields(F.col("answer"))), "paperId")
+
+
+def abstract_baseline(papers: DataFrame, template: str, factory: Callable, characters: int = 800, most: int = 3, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(paperId, position, text): up to ``most`` gaps a paper from the beginning of its abstract, which is what this baseline shows a model."""
+    p = papers.where("coalesce(abstract, '') != ''").select("paperId", fill(template, title=F.col("title"), abstract=F.substring("abstract", 1, characters)).alias("prompt"))
+    got = answers(p, "paperId", "prompt", factory, retries, wait).where("answer is not null")
+    return got.select("paperId", F.posexplode(parse_gap_list(F.col("answer"), most)).alias("position", "text"))
+
+
 def expand_query(topic: str, answer: str | None = None) -> list[str]:
     """Five search queries for a topic: those of a JSON answer if it holds exactly five, else plain templates."""
     try:

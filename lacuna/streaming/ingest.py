@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lacuna.functions.text import truthy
 
@@ -33,3 +35,22 @@ def append(stream: DataFrame, table: str, checkpoint: str, manifest: str | None
             count.write.mode("overwrite").parquet(f"{manifest}/batch_{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with (batch number, input rows) after every micro-batch."""
+
+    def __init__(self, callback: Callable[[int, int], None]):
+        self.callback = callback
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.callback(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

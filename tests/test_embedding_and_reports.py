@@ -33,7 +33,7 @@ def test_reports(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (None,)], "v double")
     assert {(r["bin"], r["n"]) for r in reports.histogram(df, "v", 2).collect()} == {(0, 1), (1, 2)}
     assert reports.histogram(df.limit(0), "v").count() == 0
-    c = spark.createDataFrame([("model", 0.9), ("mesh", 0.5), ("rare", 0.0), ("gap", 0.0)], "node string, centrality double")
+    c = spark.createDataFrame([("the model", 0.9), ("mesh", 0.5), ("rare", 0.0), ("gap", 0.0)], "node string, centrality double")
     assert {r["node"] for r in reports.drawn_nodes(c, spark.createDataFrame([("gap",)], "node string")).collect()} == {"mesh", "gap"}
     a = spark.createDataFrame([(0, "p", "x"), (1, None, "y")], "position int, paper_id string, text string")
     b = spark.createDataFrame([(0, "q", "u"), (1, "p", "v")], "position int, paper_id string, text string")

@@ -136,6 +136,23 @@ def test_model_calls(spark):
     assert [(r["subject"]["name"], r["confidence"], r["source_paper_id"], r["source_year"]) for r in out] == [("A", 0.5, "p1", "2020")]
 
 
+def baseline_client():
+    return lambda prompt: f"RESEARCH_GAPS: {len(prompt)}\nREMAINING_GAPS: none" if "fields" in prompt else "one\ntwo\n\nthree\nfour"
+
+
+def test_baselines(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    p = spark.createDataFrame([("a", "mesh", "service mesh traces"), ("b", "mesh", "service mesh logs"), ("c", "x", None), ("d", "lattice", "lattice keys")], "paperId string, title string, abstract string")
+    got = {r["paperId"]: r for r in model_calls.retrieval_baseline(p, "fields {text} / {context}", baseline_client, wait=0.0).collect()}
+    assert set(got) == {"a", "b", "d"} and got["a"]["neighbours"] == ["b"] and got["d"]["neighbours"] == [] and got["a"]["remaining_gaps"] == "none"
+    lines = model_calls.abstract_baseline(p, "{title} {abstract}", baseline_client, wait=0.0).collect()
+    assert sorted({r["text"] for r in lines}) == ["one", "three", "two"] and len(lines) == 9
+
+
 def test_answer_parsers(spark):
     one = lambda text, col: spark.createDataFrame([(text,)], "x string").select(col.alias("c")).first()["c"]
     assert tuple(one('{"relevant": true, "confidence": "0.9"}', model_calls.parse_screening(F.col("x")))) == (True, 0.9, "")
@@ -147,6 +164,9 @@ def test_answer_parsers(spark):
 
 
 def test_stream_of_new_papers(spark, tmp_path):
+    seen = []
+    listener = ingest.Progress(lambda batch, rows: seen.append(rows))
+    spark.streams.addListener(listener)
     src = tmp_path / "in"
     src.mkdir()
     out = 0
@@ -155,6 +175,14 @@ def test_stream_of_new_papers(spark, tmp_path):
         ingest.append(ingest.new_papers(spark, str(src), files.PAPER_SCHEMA), str(tmp_path / "t"), str(tmp_path / "ck"), str(tmp_path / "m")).awaitTermination()
         out = spark.read.parquet(str(tmp_path / "t")).count()
     assert out == 3
+    import time
+
+    for _ in range(50):
+        if sum(seen) >= 6:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert sum(seen) == 6
     assert [r["rows"] for r in spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "m")).orderBy("batch").collect()] == [2, 1]
 
 
