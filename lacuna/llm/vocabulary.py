@@ -111,8 +111,8 @@ def build_index(df: DataFrame, record: str, first: str, second: str | None = Non
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             last = t.column(0)[t.num_rows - 1]
-            same = pc.equal(t.column(0), last).fill_null(True) if last.is_valid else pc.is_null(t.column(0))
-            cut = t.num_rows - int(pc.sum(same).as_py()) if last.is_valid else 0
+            same = pc.equal(t.column(0), last).fill_null(False)  # null records sort first and aren't part of the last one
+            cut = t.num_rows - int(pc.sum(same).as_py() or 0) if last.is_valid else 0
             if cut <= 0:  # one record so far: go on until it ends
                 held, size = [*t.to_batches()], 0
                 continue

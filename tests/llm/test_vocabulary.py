@@ -29,6 +29,19 @@ def test_frequencies(spark, flush, block, dense, monkeypatch):
     assert got == brute(rows)
 
 
+def test_a_flush_between_null_and_other_records_cuts_no_record(spark, monkeypatch):
+    monkeypatch.setattr(V, "_FLUSH", 40)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, *[f"r{i:02}" for i in range(20)]]), f"t{rng.randrange(3)}", rng.choice([None, "x"])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "rec string, s string, o string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = {tuple(r) for r in V.frequencies(V.build_index(df, "rec", "s", "o")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
+
+
 def test_small_blocks_are_disjoint(monkeypatch):
     import pyarrow as pa
 
