@@ -56,10 +56,20 @@ def _docs(spark: SparkSession, d: str, normalise: bool = True) -> DataFrame:
 
 @query(sql("SELECT candidate, count(*) AS hits FROM clo GROUP BY candidate", _ENT.replace("GROUP BY ALL, k HAVING", "GROUP BY candidate, family, no, peak, doc, year, k HAVING")))
 def closure_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Papers that already mention what a candidate says is missing or in decline."""
-    _, c = _detected(spark, d, Scratch(spark, "closure"), clusters=False)
+    """Papers that already mention what a link or decay says is missing or in decline; SQL has no communities, so closure_hits_all has all families."""
+    return _closure(spark, d, False, _docs(spark, d, normalise=False))
+
+
+@query()
+def closure_hits_all(spark: SparkSession, d: str) -> DataFrame:
+    """Papers that already mention what a candidate of any family says, over texts in the form of labels, as the gate counts them."""
+    return _closure(spark, d, True, _docs(spark, d))
+
+
+def _closure(spark: SparkSession, d: str, clusters: bool, docs: DataFrame) -> DataFrame:
+    _, c = _detected(spark, d, Scratch(spark, "closure"), clusters)
     named = c.select("candidate", "family", F.posexplode(F.slice("entities", 1, 6)).alias("entity_no", "label"), "peak_year")
-    return gate.closure_hits(named, _docs(spark, d, normalise=False)).groupBy("candidate").agg(F.count("*").alias("hits"))
+    return gate.closure_hits(named, docs).groupBy("candidate").agg(F.count("*").alias("hits"))
 
 
 _INC = """, con AS (SELECT node AS concept FROM decay WHERE CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END >= 0.3),
@@ -142,17 +152,27 @@ met AS (SELECT candidate, family, p, dk, avg(coalesce(c, 0)) AS c FROM cand LEFT
 raw AS (SELECT candidate, family, (0.15 * c + coalesce(0.25 * p, 0) + coalesce(0.25 * dk, 0)) / (0.15 + 0.25) AS s FROM met)"""
 
 
-def _unvalidated(spark: SparkSession, d: str) -> DataFrame:
+def _unvalidated(spark: SparkSession, d: str, clusters: bool) -> DataFrame:
     scratch = Scratch(spark, "score")
-    e, c = _detected(spark, d, scratch, clusters=False)
+    e, c = _detected(spark, d, scratch, clusters)
     c = c.join(candidates.mean_centrality(c, graph.degree_centrality(e)), "candidate", "left")
     return c.withColumn("ranking_score", F.lit(None).cast("double"))
 
 
 @query(sql("SELECT candidate, family, round(s, 8) AS raw_composite_score, round((s - (SELECT min(s) FROM raw)) / CASE WHEN (SELECT max(s) FROM raw) > (SELECT min(s) FROM raw) THEN (SELECT max(s) - min(s) FROM raw) ELSE 1 END, 8) AS composite_score FROM raw", _ALL))
 def composite_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of all unvalidated link and decay candidates."""
-    x = score.metric_columns(_unvalidated(spark, d)).withColumn("raw_composite_score", score.composite())
+    """Scores of all unvalidated link and decay candidates, scaled among themselves; composite_scores_all has all families."""
+    return _scores(_unvalidated(spark, d, False))
+
+
+@query()
+def composite_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all unvalidated candidates, scaled over all three families."""
+    return _scores(_unvalidated(spark, d, True))
+
+
+def _scores(c: DataFrame) -> DataFrame:
+    x = score.metric_columns(c).withColumn("raw_composite_score", score.composite())
     x = score.min_max(x, "raw_composite_score", "composite_score")
     return x.select("candidate", "family", F.round("raw_composite_score", 8).alias("raw_composite_score"), F.round("composite_score", 8).alias("composite_score"))
 
@@ -165,7 +185,14 @@ def composite_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def ablation_counts(spark: SparkSession, d: str) -> DataFrame:
-    return score.ablation(_unvalidated(spark, d))
+    """Links and decays only: without communities, which SQL cannot find, the rows with Louvain lack the clusters; ablation_counts_all has them."""
+    return score.ablation(_unvalidated(spark, d, False))
+
+
+@query()
+def ablation_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates every combination of the three families has."""
+    return score.ablation(_unvalidated(spark, d, True))
 
 
 @query()
