@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.catalog import query
-from lacuna.operators import detect, embedding, graph, paths, provenance, reports, resolve
+from lacuna.operators import candidates, detect, embedding, graph, paths, provenance, reports, resolve
 from lacuna.plans.runtime import Scratch, table
 
 SNAPSHOT = "2026-04-30"
@@ -201,11 +201,18 @@ walks AS (
 
 @query(sql("SELECT head, tail, array_to_string(nodes, ' > ') AS path, len(nodes) - 1 AS hops FROM walks", _PATHS3))
 def evidence_paths(spark: SparkSession, d: str) -> DataFrame:
-    """All simple paths of up to three edges between the ends of the top candidates."""
+    """All simple paths of up to three edges between the ends of the top candidates; evidence_paths_all goes to four."""
     e, c = _candidates(spark, d, Scratch(spark, "paths"))
     return paths.simple_paths(graph.simple(e), c, 3).select("head", "tail", F.array_join("nodes", " > ").alias("path"), (F.size("nodes") - 1).cast("bigint").alias("hops"))
 
 
+@query()
+def evidence_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """All simple paths of up to four edges between the ends of the top candidates."""
+    e, c = _candidates(spark, d, Scratch(spark, "paths"))
+    return paths.simple_paths(graph.simple(e), c).select("head", "tail", F.array_join("nodes", " > ").alias("path"), (F.size("nodes") - 1).cast("bigint").alias("hops"))
+
+
 @query()
 def independent_paths(spark: SparkSession, d: str) -> DataFrame:
     e, c = _candidates(spark, d, Scratch(spark, "paths"))
@@ -229,17 +236,45 @@ def _provenance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT candidate, paper_id, title, paper_year, venue, evidence_records FROM res", _RECORDS))
 def gap_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Papers and evidence on the two-hop paths behind the top candidates."""
+    """Papers and evidence on the two-hop paths behind the top link candidates; gap_provenance_all has the whole."""
     return _provenance(spark, d)
 
 
 @query(sql("SELECT paper_id, count(DISTINCT candidate) AS candidates, 'missing_link' AS families FROM res GROUP BY paper_id", _RECORDS))
 def source_paper_inversion(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates that each paper of gap_provenance supports; source_paper_inversion_all has all families."""
     r = _provenance(spark, d)
     fam = r.select("candidate", F.lit("missing_link").alias("family")).distinct()
     return provenance.inversion(r, fam).withColumn("families", F.array_join("families", ","))
 
 
+def _provenance_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates of all families, their papers)."""
+    scratch = Scratch(spark, "provenance")
+    e = scratch.save(edges(spark, d), "edges")
+    pairs, member = community_membership(spark, d)
+    links = scratch.save(detect.common_neighbor_links(pairs), "links")
+    c = scratch.save(candidates.table(links, detect.orphan_clusters(pairs, member), member, detect.temporal_decay(e, snapshot_date=SNAPSHOT)), "candidates")
+    few = paths.shortest_paths(pairs, links, 4, 3).select(F.concat_ws(" | ", F.lit("missing_link"), "head", "tail").alias("candidate"), "nodes")
+    r = provenance.path_records(e, few)
+    r = r.unionByName(provenance.cluster_records(e, c.where("family = 'orphan_cluster'").select("candidate", F.explode("members").alias("node"))))
+    r = r.unionByName(provenance.concept_records(e, c.where("family = 'temporal_decay'").select("candidate", "concept")))
+    return c, provenance.resolve(r, table(spark, d, "papers"))
+
+
+@query()
+def gap_provenance_all(spark: SparkSession, d: str) -> DataFrame:
+    """Papers and evidence behind the candidates of all families: on up to three shortest paths of at most four edges, inside clusters, at concepts."""
+    return _provenance_all(spark, d)[1]
+
+
+@query()
+def source_paper_inversion_all(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of all families that each paper supports."""
+    c, r = _provenance_all(spark, d)
+    return provenance.inversion(r, c.select("candidate", "family")).withColumn("families", F.array_join("families", ","))
+
+
 @query()
 def fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
     """Greedy merging of all part names by token-sorted similarity."""

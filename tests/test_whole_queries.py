@@ -1,5 +1,6 @@
 """Queries over the whole job, against brute force."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lacuna import catalog, queries_gate, queries_graph
 from lacuna.functions.text import tokens
-from lacuna.operators import graph
+from lacuna.operators import detect, graph
 from lacuna.plans.runtime import Scratch
 
 
@@ -64,3 +65,63 @@ def test_closure_screens_the_clusters(spark, small, families):
                 want[r["candidate"]] += 1
     assert any(k.startswith("orphan_cluster") for k in want)
     assert {r["candidate"]: r["hits"] for r in rows(spark, small, "closure_hits_all")} == dict(want)
+
+
+TRIPLES = "seq bigint, subject struct<name:string,type:string>, relation string, object struct<name:string,type:string>, confidence double, evidence string, source_paper_id string, source_year string"
+PAPERS = "seq bigint, paperId string, title string, abstract string, authors array<struct<name:string>>, year int, venue string, citationCount int, url string, externalIds map<string,string>"
+
+
+@pytest.fixture(scope="module")
+def tiny(spark, tmp_path_factory):
+    """(folder, statements) of a graph of 14 nodes."""
+    d = str(tmp_path_factory.mktemp("tiny"))
+    rng = random.Random(4)
+    rows = [(i, *rng.sample([f"n{k:02}" for k in range(14)], 2), "USES", f"p{i % 17}", rng.choice([2018, 2019, 2020, 2021, 2022, 2023, 2024])) for i in range(30)]
+    t = [(i, (u, "M"), r, (v, "M"), 0.9, f"e{i}", p, str(y)) for i, u, v, r, p, y in rows]
+    spark.createDataFrame(t, TRIPLES).write.parquet(f"{d}/triples.parquet")
+    papers = [(1, "p1", None, "graph search over paths", None, 2020, None, None, None, None), (2, "p2", "T", "graph search over trees", None, 2020, None, None, None, None), (3, "p3", "T", "unrelated words entirely", None, 2020, None, None, None, None), (20, "p4", None, "search paths", None, 2020, None, None, None, None)]
+    spark.createDataFrame(papers, PAPERS).write.parquet(f"{d}/papers.parquet")
+    return d, rows
+
+
+def simple_walks(rows, a, b, most):
+    near = {}
+    for _, u, v, *_ in rows:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    out, todo = [], [[a]]
+    while todo:
+        w = todo.pop()
+        if w[-1] == b:
+            out.append(w)
+        elif len(w) <= most:
+            todo += [[*w, x] for x in near[w[-1]] - set(w)]
+    return sorted(out, key=lambda w: (len(w), w))
+
+
+def test_paths_and_provenance_of_all_families(spark, tiny, monkeypatch):
+    d, data = tiny
+    pairs = graph.simple(queries_graph.edges(spark, d))
+    member = graph.both_ways(pairs).select("node", F.when(F.col("node") < "n04", "x").otherwise("y").alias("community")).distinct()
+    monkeypatch.setattr(queries_graph, "community_membership", lambda spark, d: (pairs, member))
+    monkeypatch.setattr(queries_graph.detect, "orphan_clusters", detect.cluster_stats)
+    links = [(r["head"], r["tail"]) for r in rows(spark, d, "common_neighbor_links")]
+    decays = [r["concept"] for r in rows(spark, d, "temporal_decay")]
+    assert links and decays
+    want_paths = {(a, b, " > ".join(w)) for a, b in links for w in simple_walks(data, a, b, 4)}
+    assert {(r["head"], r["tail"], r["path"]) for r in rows(spark, d, "evidence_paths_all")} == want_paths and any(p.count(">") == 4 for *_, p in want_paths)
+    records = {}
+    for a, b in links:
+        hops = {frozenset(h) for w in simple_walks(data, a, b, 4)[:3] for h in zip(w, w[1:])}
+        records[f"missing_link | {a} | {b}"] = [r for r in data if frozenset(r[1:3]) in hops]
+    for name, inside in (("x", lambda n: n < "n04"), ("y", lambda n: n >= "n04")):
+        records[f"orphan_cluster | {name}"] = [r for r in data if inside(r[1]) and inside(r[2])]
+    for c in decays:
+        records[f"temporal_decay | {c}"] = [r for r in data if c in r[1:3]]
+    want = Counter((k, r[4]) for k, v in records.items() for r in v)
+    assert {(r["candidate"], r["paper_id"]): r["evidence_records"] for r in rows(spark, d, "gap_provenance_all")} == want
+    inverse = {}
+    for k, p in want:
+        inverse.setdefault(p, set()).add(k)
+    got = {r["paper_id"]: (r["candidates"], r["families"]) for r in rows(spark, d, "source_paper_inversion_all")}
+    assert got == {p: (len(v), ",".join(sorted({k.split(" | ")[0] for k in v}))) for p, v in inverse.items()}
