@@ -274,11 +274,18 @@ SELECT query, doc, similarity, row_number() OVER (PARTITION BY query ORDER BY si
 
 @query(_SIM)
 def tfidf_top3(spark: SparkSession, d: str) -> DataFrame:
-    """The three titles nearest to every twentieth one, of all titles."""
+    """The three titles nearest to every twentieth one, of all titles; tfidf_top3_abstracts searches the whole abstracts."""
     docs = table(spark, d, "papers").where("title is not null").select(F.col("seq").alias("doc"), F.col("title").alias("text"))
     return retrieval.top_similar(retrieval.tfidf(docs), docs.where("doc % 20 = 0").select(F.col("doc").alias("query")), digits=6)
 
 
+@query(_SIM.replace("title", "abstract"))
+def tfidf_top3_abstracts(spark: SparkSession, d: str) -> DataFrame:
+    """The three abstracts nearest to every twentieth one, of all abstracts, with or without a title."""
+    docs = table(spark, d, "papers").where("abstract is not null").select(F.col("seq").alias("doc"), F.col("abstract").alias("text"))
+    return retrieval.top_similar(retrieval.tfidf(docs), docs.where("doc % 20 = 0").select(F.col("doc").alias("query")), digits=6)
+
+
 @query(
     """WITH v AS (SELECT vec_id AS doc, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT doc, e, sqrt(list_dot_product(e, e)) AS l FROM v),
 s AS (SELECT q.doc AS query, x.doc, list_dot_product(q.e, x.e) / (q.l * x.l) AS similarity FROM n q JOIN n x ON q.doc <> x.doc WHERE q.doc % 20 = 0)

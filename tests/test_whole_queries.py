@@ -125,3 +125,8 @@ def test_paths_and_provenance_of_all_families(spark, tiny, monkeypatch):
         inverse.setdefault(p, set()).add(k)
     got = {r["paper_id"]: (r["candidates"], r["families"]) for r in rows(spark, d, "source_paper_inversion_all")}
     assert got == {p: (len(v), ",".join(sorted({k.split(" | ")[0] for k in v}))) for p, v in inverse.items()}
+
+
+def test_abstracts_without_a_title_are_searched(spark, tiny):
+    got = {r["doc"]: r["rank"] for r in rows(spark, tiny[0], "tfidf_top3_abstracts") if r["query"] == 20}
+    assert got == {1: 1, 2: 2}
