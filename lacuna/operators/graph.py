@@ -156,18 +156,21 @@ def betweenness(edges: DataFrame, max_depth: int = 100) -> DataFrame:
 
     Breadth-first search from every node at once, one join a level, then the
     dependencies level by level backwards.  The work is nodes times edges, so it
-    is for graphs of modest size; nothing is gathered in one place.
+    is for graphs of modest size; nothing is gathered in one place.  Shortest
+    paths longer than max_depth are an error.
     """
     scratch = Scratch(edges.sparkSession, "between")
     out = scratch.save(directed(edges).where("u != v"), "edges")
     nodes = scratch.save(out.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
     seen = scratch.save(nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "level0")
     levels, front = [seen], seen
-    while len(levels) <= max_depth:
+    while True:
         step = front.select("s", F.col("v").alias("u"), "sigma").join(out, "u").groupBy("s", "v").agg(F.sum("sigma").alias("sigma"))
         front = scratch.save(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(len(levels)).alias("d"), "sigma"), f"level{len(levels)}")
         if front.isEmpty():
             break
+        if len(levels) > max_depth:
+            raise RuntimeError(f"shortest paths are longer than {max_depth} edges")
         levels.append(front)
         seen = seen.unionByName(front)
     total = None

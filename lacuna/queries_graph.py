@@ -178,12 +178,8 @@ def community_modularity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    """Nations that supply brands, and the brands' types: a small directed graph from all lineitems."""
-    li, part, supp, nation = (table(spark, d, t) for t in ("lineitem", "part", "supplier", "nation"))
-    sold = li.select("l_partkey", "l_suppkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    up = sold.select(F.concat(F.lit("nation:"), "n_name").alias("u"), F.concat(F.lit("brand:"), "p_brand").alias("v"))
-    down = sold.select(F.concat(F.lit("brand:"), "p_brand").alias("u"), F.concat(F.lit("type:"), "p_type").alias("v"))
-    return graph.betweenness(up.unionByName(down).distinct())
+    """Exact betweenness of every entity of the triples' graph."""
+    return graph.betweenness(edges(spark, d))
 
 
 def _candidates(spark: SparkSession, d: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

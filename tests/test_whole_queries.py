@@ -130,3 +130,12 @@ def test_paths_and_provenance_of_all_families(spark, tiny, monkeypatch):
 def test_abstracts_without_a_title_are_searched(spark, tiny):
     got = {r["doc"]: r["rank"] for r in rows(spark, tiny[0], "tfidf_top3_abstracts") if r["query"] == 20}
     assert got == {1: 1, 2: 2}
+
+
+def test_betweenness_of_the_triples_and_its_depth(spark, tiny):
+    d, data = tiny
+    assert {r["node"] for r in rows(spark, d, "betweenness")} == {x for r in data for x in r[1:3]}
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(4)], "u string, v string")
+    assert graph.betweenness(chain, max_depth=4).count() == 5
+    with pytest.raises(RuntimeError, match="longer"):
+        graph.betweenness(chain, max_depth=3)
