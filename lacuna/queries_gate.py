@@ -82,12 +82,12 @@ g AS (SELECT y.concept, y.r, n, sum(CASE WHEN last - year < 2 THEN rate ELSE 0 E
 ok AS (SELECT concept, count(*) AS s FROM g WHERE n >= 2 AND CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END >= 0.3 GROUP BY 1)"""
 
 
-def _decay_stability(spark: SparkSession, d: str, mode: str) -> DataFrame:
+def _decay_stability(spark: SparkSession, d: str, mode: str, keep: float = 0.8, repeats: int = 20) -> DataFrame:
     scratch = Scratch(spark, "stability")
     e = scratch.save(edges(spark, d), "edges")
     concepts = detect.temporal_decay(e, snapshot_date=SNAPSHOT).select("concept")
     ev = scratch.save(stability.incident(e, concepts), "events")
-    x = stability.decay_survival(ev, detect.papers_per_year(e), mode, None, 0.8, repeats=20)
+    x = stability.decay_survival(ev, detect.papers_per_year(e), mode, None, keep, repeats=repeats)
     return x.withColumn("survival", F.round("survival", 9))
 
 
@@ -96,15 +96,31 @@ _SURVIVAL = "SELECT con.concept, round(coalesce(s, 0) / 20.0, 9)::DOUBLE AS surv
 
 @query(sql(_SURVIVAL, _INC.replace("{keep}", _U.format("'42|edge|' || r || '|' || concept || '|' || edge_seq") + " <= 0.8")))
 def edge_dropout_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Share of 20 replicates in which a decline survives the loss of a fifth of the relation events."""
+    """Share of 20 replicates in which a decline survives the loss of a fifth of the relation events; edge_dropout_stability_gate has the gate's settings."""
     return _decay_stability(spark, d, "edge")
 
 
 @query(sql(_SURVIVAL, _INC.replace("{keep}", "has_paper AND " + _U.format("'42|paper|' || r || '|' || concept || '|' || paper") + " <= 0.8")))
 def paper_dropout_stability(spark: SparkSession, d: str) -> DataFrame:
+    """The same for papers; paper_dropout_stability_gate has the gate's settings."""
     return _decay_stability(spark, d, "paper")
 
 
+_SURVIVAL_GATE, _INC_GATE = _SURVIVAL.replace("/ 20.0", "/ 50.0"), _INC.replace("range(1, 21)", "range(1, 51)")
+
+
+@query(sql(_SURVIVAL_GATE, _INC_GATE.replace("{keep}", _U.format("'42|edge|' || r || '|' || concept || '|' || edge_seq") + " <= 0.95")))
+def edge_dropout_stability_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the gate's 50 replicates in which a decline survives the loss of a twentieth of the relation events."""
+    return _decay_stability(spark, d, "edge", SETTINGS.edge_keep, SETTINGS.repeats)
+
+
+@query(sql(_SURVIVAL_GATE, _INC_GATE.replace("{keep}", "has_paper AND " + _U.format("'42|paper|' || r || '|' || concept || '|' || paper") + " <= 0.95")))
+def paper_dropout_stability_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The same for papers."""
+    return _decay_stability(spark, d, "paper", SETTINGS.paper_keep, SETTINGS.repeats)
+
+
 @query()
 def link_stability(spark: SparkSession, d: str) -> DataFrame:
     """Survival of the top link candidates by mode."""
