@@ -21,7 +21,7 @@ class Config:
     min_confidence: float = 0.3
     relations: tuple[str, ...] | None = graph.RELATIONS
     key: Callable[[Column], Column] = key_column
-    merge_names: bool = False
+    merge_names: bool = True
     fuzzy_threshold: int = 85
     top_links: int = 50
     min_cluster_ratio: float = 0.05

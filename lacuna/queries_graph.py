@@ -273,8 +273,8 @@ def source_paper_inversion_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy merging of all part names by token-sorted similarity."""
-    names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("occurrences"), F.min("p_partkey").alias("seq")).where("name is not null")
+    """Greedy merging of all entity names of the graph by token-sorted similarity."""
+    names = graph.endpoints(edges(spark, d)).groupBy(F.col("node").alias("name")).agg(F.count("*").alias("occurrences"), F.min("edge_seq").alias("seq"))
     names = Scratch(spark, "names").save(names, "names")
     return resolve.greedy_merge(names, resolve.fuzzy_pairs(names.select("name"), 85))
 

@@ -139,3 +139,13 @@ def test_betweenness_of_the_triples_and_its_depth(spark, tiny):
     assert graph.betweenness(chain, max_depth=4).count() == 5
     with pytest.raises(RuntimeError, match="longer"):
         graph.betweenness(chain, max_depth=3)
+
+
+def test_merging_takes_the_names_of_the_graph(spark, tiny, tmp_path):
+    from lacuna.plans import pipeline
+
+    assert {r["name"] for r in rows(spark, tiny[0], "fuzzy_merge")} == {x for r in tiny[1] for x in r[1:3]}
+    t = [(i, (u, "M"), "USES", (v, "M"), 0.9, "", "p", "2020") for i, (u, v) in enumerate([("service mesh", "proxy"), ("service mesh", "cache"), ("mesh services", "proxy")])]
+    spark.createDataFrame(t, TRIPLES).write.parquet(f"{tmp_path}/triples.parquet")
+    assert {r["name"]: r["canonical"] for r in rows(spark, str(tmp_path), "fuzzy_merge")}["mesh services"] == "service mesh"
+    assert pipeline.build_graph(spark.read.parquet(f"{tmp_path}/triples.parquet"))[0].count() == 3
