@@ -108,6 +108,26 @@ def embedding_candidates(edges: DataFrame, relations: DataFrame) -> DataFrame:
     return hops.join(F.broadcast(relations.select("relation").distinct()))  # a vocabulary
 
 
+def embedding_pairs(edges: DataFrame, top_k: int = 5000) -> DataFrame:
+    """(head, tail): the top_k pairs of embedding_candidates by common neighbours, then head and tail.
+
+    Each of the (top_k + 1) / 2 best unordered pairs is a candidate in both
+    directions, so the least of their counts bounds the degrees of the ends.
+    """
+    scratch = Scratch(edges.sparkSession, "embedding-pairs")
+    d = scratch.save(graph.directed(edges), "directed")
+    pairs = scratch.save(graph.simple(edges), "simple")
+    half = (top_k + 1) // 2
+    least = structural_missing_links(pairs, half).agg(F.count("*").alias("n"), F.min("common_neighbors").alias("least")).first()
+    to = adj = graph.both_ways(pairs)
+    if least["n"] == half:
+        ends = graph.degrees(pairs).where(F.col("degree") >= least["least"]).select(F.col("node").alias("other"))
+        to = adj.join(ends, "other", "left_semi").select("node", "other")
+    hops = to.toDF("mid", "head").join(to.toDF("mid", "tail"), "mid").where("head != tail").groupBy("head", "tail").agg(F.count("*").alias("common_neighbors"))
+    hops = hops.join(d.select(F.col("u").alias("head"), F.col("v").alias("tail")), ["head", "tail"], "left_anti")
+    return hops.orderBy(F.desc("common_neighbors"), "head", "tail").limit(top_k).select("head", "tail")
+
+
 def translation_scores(candidates: DataFrame, entity_vectors: DataFrame, relation_vectors: DataFrame, top_k: int | None = None) -> DataFrame:
     """candidates with prediction_score = -|h + r - t| of given vectors (I5), higher is better; top_k in a total order."""
     e, r = entity_vectors.toDF("node", "vec"), relation_vectors.toDF("relation", "rv")

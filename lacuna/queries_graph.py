@@ -281,9 +281,9 @@ def fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embedding_links(spark: SparkSession, d: str) -> DataFrame:
-    """Unobserved statements over the 5,000 pairs with most common neighbours, by translation embeddings."""
+    """Unobserved statements over the 5,000 directed pairs with most common neighbours, by translation embeddings of the reference's size."""
     e = Scratch(spark, "embedding").save(edges(spark, d), "edges")
-    return embedding.links(e, detect.structural_missing_links(graph.simple(e), 5000), 50, dim=16, epochs=5)
+    return embedding.links(e, Scratch(spark, "pairs").save(detect.embedding_pairs(e), "pairs"), 50, dim=128, epochs=100)
 
 
 @query(

@@ -149,3 +149,16 @@ def test_merging_takes_the_names_of_the_graph(spark, tiny, tmp_path):
     spark.createDataFrame(t, TRIPLES).write.parquet(f"{tmp_path}/triples.parquet")
     assert {r["name"]: r["canonical"] for r in rows(spark, str(tmp_path), "fuzzy_merge")}["mesh services"] == "service mesh"
     assert pipeline.build_graph(spark.read.parquet(f"{tmp_path}/triples.parquet"))[0].count() == 3
+
+
+@pytest.mark.parametrize("k", [4, 21, 5000])
+def test_embedding_pairs_are_directed(spark, tiny, k):
+    d, data = tiny
+    near, directed = {}, {r[1:3] for r in data}
+    for u, v in directed:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want = sorted((-len(near[a] & near[b]), a, b) for a in near for b in near if a != b and near[a] & near[b] and (a, b) not in directed)
+    assert any((b, a) in directed for _, a, b in want)
+    got = detect.embedding_pairs(queries_graph.edges(spark, d), k).collect()
+    assert sorted((r["head"], r["tail"]) for r in got) == sorted((a, b) for _, a, b in want[:k])
