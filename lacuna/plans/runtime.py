@@ -54,6 +54,48 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+class Folder:
+    """Small files of a folder on the cluster's file system, for what must be there whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark.sparkContext._jvm
+        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.path = str(self._fs.makeQualified(p).toString()).rstrip("/")
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def exists(self, name: str) -> bool:
+        return bool(self._fs.exists(self._at(name)))
+
+    def write(self, name: str, text: str) -> None:
+        """A new file; one that exists is an error.  It appears under its name only when it is whole."""
+        draft, final = self._at(f".draft-{uuid.uuid4().hex}"), self._at(name)
+        out = self._fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.mkdirs(final.getParent())
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def names(self, folder: str) -> list[str]:
+        at = self._at(folder)
+        found = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(n for n in found if not n.startswith("."))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+
 class Scratch:
     """Tables of one operator call in the shared folder, removed when Python ends."""
 
