@@ -48,23 +48,26 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(linked, "class", "left").select("seq", "class", F.coalesce("group_key", "class").alias("group_key"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _screened(spark: SparkSession, d: str, ends: tuple[int, ...]) -> DataFrame:
+    """(seq, accepted) by one append to an index for the batches up to each of ``ends`` and one for the rest."""
+    papers = table(spark, d, "papers").withColumn("id", id_form(F.col("paperId"))).withColumn("batch", F.coalesce("batch_no", F.lit(-1)))
+    index = history.Index(spark, f"{Scratch(spark, 'index').root}/index", ["title", "abstract"], "id", LIKENESS, SHINGLE, MIN_WORDS)
+    out, low = None, None
+    for high in (*ends, None):
+        step = papers.where("true" if low is None else f"batch > {low}").where("true" if high is None else f"batch <= {high}")
+        done = index.add(step, "seq", [F.col("batch")])
+        out, low = done if out is None else out.unionByName(done), high
+    return out
+
+
 def p5_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """(seq, accepted) of every papers row, all batches in one append to an empty index."""
-    papers = table(spark, d, "papers").withColumn("id", id_form(F.col("paperId")))
-    return history.screen(papers, "seq", "id", ["title", "abstract"], [F.coalesce("batch_no", F.lit(-1))], LIKENESS, SHINGLE, MIN_WORDS)
+    """(seq, accepted) of every papers row: the first collection goes into an index, the later batches are screened against it and appended."""
+    return _screened(spark, d, (0,))
 
 
 def p5_appends(spark: SparkSession, d: str) -> DataFrame:
-    """(seq, accepted) by four appends to a stored index: the first collection, then eight batches at a time."""
-    papers = table(spark, d, "papers").withColumn("id", id_form(F.col("paperId"))).withColumn("batch", F.coalesce("batch_no", F.lit(-1)))
-    scratch = Scratch(spark, "appends")
-    index = history.Index(spark, f"{scratch.root}/index", ["title", "abstract"], "id", LIKENESS, SHINGLE, MIN_WORDS)
-    out = None
-    for low, high in ((None, 0), (1, 8), (9, 16), (17, None)):
-        step = papers.where("true" if low is None else f"batch >= {low}").where("true" if high is None else f"batch <= {high}")
-        done = index.add(step, "seq", [F.col("batch")])
-        out = done if out is None else out.unionByName(done)
-    return out
+    """The same by four appends: the first collection, then eight batches at a time."""
+    return _screened(spark, d, (0, 8, 16))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Word-shingle signatures shared by the near-duplicate operators.
 
 Words are the maximal runs of letters or digits of ``lower(a + ' ' + b)``; a
-row's set holds the 50-bit hashes of its distinct runs of ``k`` words.  Likeness
+row's set holds the 40-bit hashes of its distinct runs of ``k`` words (two
+different shingles of a pair of usual length share a hash once in 10**8 pairs).  Likeness
 is the Jaccard similarity of two sets.  All of it works on whole texts and on
 Arrow batches at once; nothing here is per row but the word split.
 
@@ -19,8 +20,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
-SKETCH_BITS = 21
-HASH_BITS = 50
+HASH_BITS = 40
 _CACHE_MAX = 400_000
 EPS = 1e-9
 
@@ -82,8 +82,21 @@ def shingle_sets(texts: list[str], k: int = 3, min_words: int = 20) -> tuple[np.
     return s, np.cumsum(np.bincount(row, minlength=len(texts)))
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def pack(s: np.ndarray) -> bytes:
+    """Hashes as HASH_BITS / 8 bytes each, in their order."""
+    return np.ascontiguousarray((s >> np.uint64(64 - HASH_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]).tobytes()
+
+
+def unpack(raw: np.ndarray) -> np.ndarray:
+    """The hashes of packed bytes, as numbers below 2**HASH_BITS."""
+    wide = np.zeros((len(raw) * 8 // HASH_BITS, 8), np.uint8)
+    wide[:, : HASH_BITS // 8] = raw.reshape(-1, HASH_BITS // 8)
+    return wide.view("<u8").ravel()
+
+
+def slot(h: np.ndarray, width: int) -> np.ndarray:
+    """The counter of each hash among ``width``, a power of two."""
+    return (h >> np.uint64(65 - int(width).bit_length())).astype(np.int64)
 
 
 def prefix_len(n: np.ndarray, t: float) -> np.ndarray:
@@ -104,18 +117,17 @@ def radius(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 def ranked_prefixes(s: np.ndarray, ends: np.ndarray, counts: np.ndarray, t: float):
     """(hash, row, pos, size) of the prefix elements, rows' rarest elements first.
 
-    counts: how many rows of the corpus hold a shingle of each sketch slot.  Any
+    counts: how many rows of the corpus hold a shingle of each slot.  Any
     total order of the shingles gives exact results; this one makes lists short.
     """
     sizes = np.diff(ends, prepend=0)
     row = np.repeat(np.arange(ends.size), sizes)
-    c = counts[slot(s)]
+    c = counts[slot(s, len(counts))]
     level = np.minimum(np.where(c < 256, c, 256 + 32 * np.log2(np.maximum(c, 1) / 256.0)), 1023).astype(np.uint64)
-    # The order is (level, hash); as one number while rows are few and hashes' 40 upper bits differ.
-    key = row.astype(np.uint64) << np.uint64(50) | level << np.uint64(40) | s >> np.uint64(24)
-    order = np.argsort(key)
-    key = key[order]
-    if ends.size > 1 << 14 or (key[1:] == key[:-1]).any():
+    # The order is (level, hash); as one number while rows are few.
+    if ends.size <= 1 << 14:
+        order = np.argsort(row.astype(np.uint64) << np.uint64(50) | level << np.uint64(HASH_BITS) | s >> np.uint64(64 - HASH_BITS))
+    else:
         order = np.lexsort((s, level, row))
     s = s[order]
     pos = np.arange(s.size) - np.repeat(ends - sizes, sizes)

@@ -167,7 +167,7 @@ def candidate_pairs(reps: DataFrame, key: str, texts: list[str], counts: np.ndar
                 s, ends = S.shingle_sets(part, k, min_words)
                 fp = S.odd_sketch(s, ends)
                 s, row, pos, n = S.ranked_prefixes(s, ends, count, t)
-                p, cell, side = _shards(s, row, n, fp, count[S.slot(s)], large, t)
+                p, cell, side = _shards(s, row, n, fp, count[S.slot(s, len(count))], large, t)
                 row, pos = row[p], pos[p]
                 keys = batch.column(0).to_numpy(zero_copy_only=False)[at + row]
                 meta = n[row] << 32 | pos << 2 | side

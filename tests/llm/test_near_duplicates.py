@@ -59,11 +59,11 @@ def test_cut_shards_find_the_same_pairs():
         texts += [" ".join(words), " ".join(words[:-3])]
     s, ends = S.shingle_sets(texts, 3, 20)
     fp = S.odd_sketch(s, ends)
-    count = np.bincount(S.slot(s), minlength=1 << S.SKETCH_BITS)
+    count = np.bincount(S.slot(s, 1 << 21), minlength=1 << 21)
     p, row, pos, n = S.ranked_prefixes(s, ends, count, 0.7)
 
     def found(large):
-        at, cell, side = V._shards(p, row, n, fp, count[S.slot(p)], large, 0.7)
+        at, cell, side = V._shards(p, row, n, fp, count[S.slot(p, 1 << 21)], large, 0.7)
         order = np.argsort(cell, kind="stable")
         at, cell, side = at[order], cell[order], side[order]
         i, j = V.pairs_in_shards(cell, n[row[at]], pos[at], side, fp[row[at]], 0.7)
