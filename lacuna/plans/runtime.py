@@ -9,6 +9,7 @@ temporary one is made.
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import tempfile
@@ -121,6 +122,11 @@ class Scratch:
         if path := getattr(df, "_lacuna_path", None):
             self._delete(path)
 
+    def release(self) -> None:
+        """Let go of the shuffle files of what is no longer referenced, which otherwise stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         self._delete(self.root)
 
