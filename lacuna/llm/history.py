@@ -42,7 +42,7 @@ LEAF = 16
 GROW = 4
 _OLD = 1 << 31
 _FLUSH = 100_000
-_SETS = "key bigint, n int, d1 bigint, d2 bigint, shingles binary, block int, payload binary"
+_SETS = "key bigint, n int, d1 bigint, d2 bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint, shingles binary, block int, payload binary"
 _IDS = "key bigint, id string, cls bigint"
 
 
@@ -302,6 +302,7 @@ class Index:
         ids = facts.join(out.where("accepted"), "key", "left_semi").select("key", "id", "cls")
         ids.write.parquet(f"{self.path}/ids/{part}")
         self._commit(len(done), part, generation, more)
+        scratch.release()
         return out.withColumnRenamed("key", key)
 
     def _regenerate(self, parts: list[str], old_parts: list[str], part: str) -> tuple[str, np.ndarray]:
@@ -332,7 +333,7 @@ class Index:
 
     def _screened(self, facts: DataFrame, generation: str, part: str, old_parts: list[str], scratch: Scratch) -> DataFrame:
         """(key, accepted) of facts(key, ord, id, cls, copied)."""
-        sets = self._sets(old_parts + [part]).where("block is null").select("key", "shingles")
+        sets = self._sets(old_parts + [part]).where("block is null")
         posted, before, taken, todo, out = self._posted(generation, part, old_parts, None), self.accepted(old_parts), None, facts, None
         for _ in range(MAX_ROUNDS):
             met = scratch.save(_met(posted, self.t, self.most), "met")
@@ -373,8 +374,9 @@ class Index:
         if past:
             kept = before.select(F.col("cls").alias("b")).distinct()
             pairs = scratch.save(pairs.unionByName(met.where("kind = 1").join(kept, "b", "left_semi")), "pairs")
-        touched = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        alike = scratch.save(G.verified(pairs, G.only(sets, "key", touched), self.t, ("kind",)), "alike")
+        ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        close = scratch.save(G.within_reach(pairs, G.only(sets.select("key", "n", *G.PRINTS), "key", ends(pairs)), self.t, ("kind",)), "close")
+        alike = scratch.save(G.verified(close, G.only(sets.select("key", "shingles"), "key", ends(close)), self.t, ("kind",)), "alike")
         new = alike.where("kind = 0")
         links = scratch.save(new.select("a", "b").unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("x", "y"), "links")
         spent = None

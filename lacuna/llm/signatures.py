@@ -23,6 +23,7 @@ from lacuna.plans import slots
 from lacuna.plans.runtime import Scratch, ship
 
 BLOCKS = 64
+PRINTS = ("f0", "f1", "f2", "f3")
 _CHUNK_CHARS = 8_000_000
 _ELEMENTS = 2_000_000
 _PAIRS = 1 << 64 - S.HASH_BITS - 1
@@ -56,10 +57,10 @@ def counters(df: DataFrame) -> int:
 
 
 def signed(df: DataFrame, key: str, texts: list[str], k: int, min_words: int, width: int, sets: bool = False) -> DataFrame:
-    """(key, n, d1, d2[, shingles], block, payload): one pass over the texts.
+    """(key, n, d1, d2[, f0..f3, shingles], block, payload): one pass over the texts.
 
-    A row a text that has a set, with the set's size and digest (and the packed
-    set); further rows, with ``block``, hold the task's counts of rows a shingle
+    A row a text that has a set, with the set's size and digest (and its odd
+    sketch of 256 bits and the packed set); further rows, with ``block``, hold the task's counts of rows a shingle
     slot (``width`` of them; none for 0).
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -67,7 +68,10 @@ def signed(df: DataFrame, key: str, texts: list[str], k: int, min_words: int, wi
     ship(df.sparkSession)
     key_type = to_arrow_type(df.schema[key].dataType)
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("n", T.IntegerType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())])
-    schema = schema.add("shingles", T.BinaryType()) if sets else schema
+    if sets:
+        for c in PRINTS:
+            schema = schema.add(c, T.LongType())
+        schema = schema.add("shingles", T.BinaryType())
     schema = schema.add("block", T.IntegerType()).add("payload", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +87,13 @@ def signed(df: DataFrame, key: str, texts: list[str], k: int, min_words: int, wi
                 d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in each), np.int64).reshape(-1, 2)
                 none = pa.nulls(len(rows))
                 cols = [batch.column(0).take(pa.array(rows + at)), pa.array(sizes[rows], pa.int32()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))]
-                cols += [pa.array([S.pack(x) for x in each], pa.binary())] if sets else []
+                if sets:
+                    f = S.odd_sketch(s, ends, len(PRINTS))[rows].view(np.int64)
+                    cols += [*(pa.array(np.ascontiguousarray(f[:, i])) for i in range(len(PRINTS))), pa.array([S.pack(x) for x in each], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*cols, none.cast(pa.int32()), none.cast(pa.binary())], names=schema.names)
         parts = payloads(counts)
         none = pa.nulls(parts.num_rows)
-        cols = [pa.nulls(parts.num_rows, key_type), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64())] + ([none.cast(pa.binary())] if sets else [])
+        cols = [pa.nulls(parts.num_rows, key_type), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64())] + ([none.cast(pa.int64())] * len(PRINTS) + [none.cast(pa.binary())] if sets else [])
         yield pa.RecordBatch.from_arrays([*cols, *parts.columns], names=schema.names)
 
     return df.select(F.col(key).alias("key"), *texts).where(F.col("key").isNotNull()).mapInArrow(run, schema)
@@ -158,6 +164,14 @@ def set_table(df: DataFrame, key: str, texts: list[str], k: int, min_words: int)
     return df.select(F.col(key).alias("key"), *texts).mapInArrow(run, schema)
 
 
+def within_reach(pairs: DataFrame, prints: DataFrame, t: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs (a, b, more...) whose likeness may be t by the odd sketches of (key, n, f0..f3): so sets travel only where these leave it open."""
+    side = lambda p: prints.select(F.col("key").alias(p), *[F.col(c).alias(p + c) for c in ("n", *PRINTS)])
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in PRINTS[1:]), F.bit_count(F.col(f"a{PRINTS[0]}").bitwiseXOR(F.col(f"b{PRINTS[0]}"))))
+    return x.where(apart <= (1 - t) / (1 + t) * (F.col("an") + F.col("bn")) + S.EPS).select("a", "b", *more)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, t: float, more: tuple[str, ...] = ()) -> DataFrame:
     """The pairs (a, b, more...) whose likeness is at least t by their whole sets, with that likeness."""
     x = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
