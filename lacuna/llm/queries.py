@@ -25,6 +25,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("piece_no = 0").select("seq")
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, n_chars, pieces_fit, overlaps_fit, rebuilt): whether a text's pieces are within their limits, and the digest of the text rebuilt from them."""
+    x = p1_pieces(spark, d).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("p"))  # the pieces of one text
+    ahead = lambda i: F.when(i > 0, F.col("p")[i - 1]["end"]).otherwise(F.lit(0))
+    new = F.transform("p", lambda p, i: F.substr(p["piece"], ahead(i) - p["start"] + 1))
+    shared = F.forall(F.transform("p", lambda p, i: ahead(i) - p["start"]), lambda n: (n >= 0) & (n <= 200))
+    fit = F.forall("p", lambda p: (F.length(p["piece"]) <= 2000) & (F.length(p["piece"]) == p["end"] - p["start"]))
+    whole = F.array_join(new, "")
+    return x.select("seq", F.length(whole).cast("bigint").alias("n_chars"), fit.alias("pieces_fit"), shared.alias("overlaps_fit"), F.md5(whole).alias("rebuilt"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Distinct raw pairs are taken before the names are normalised."""
     m = table(spark, d, "name_matches").where(F.lower(F.trim(F.regexp_replace("verdict", r"^\s+|\s+$", ""))) == "match")
@@ -117,7 +128,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_groups, p5_found, p5_decisions, p5_appends, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p2_found, p3_found, p3_groups, p5_found, p5_decisions, p5_appends, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
 
 
 _P3 = """WITH w AS (SELECT seq, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') AS w FROM papers),
@@ -132,4 +143,4 @@ SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM x a JOIN x b ON a.s =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000", "p3_found": _P3, "p9_found": _P9}
+    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000", "p1_checks": "SELECT seq, length(abstract) AS n_chars, true AS pieces_fit, true AS overlaps_fit, md5(abstract) AS rebuilt FROM papers WHERE length(abstract) > 2000", "p3_found": _P3, "p9_found": _P9}

@@ -42,6 +42,47 @@ def test_text_without_boundaries_is_cut_hard():
     check("a" * 1999 + "é" * 900, 2000, 200)
 
 
+def sentence(rng, length):
+    words = ""
+    while len(words) < length:
+        words += rng.choice(["signal", "graph", "of", "sparse", "evidence", "in", "trial"]) + " "
+    return words[: length - 2].rstrip().ljust(length - 2, "s") + ". "
+
+
+def test_sentences_within_the_limit_are_never_cut():
+    rng = random.Random(7)
+    for low, high in ((600, 1900), (900, 900), (1900, 1900), (1100, 1300)):
+        sentences = [sentence(rng, rng.randrange(low, high + 1)) for _ in range(14)]
+        text = "".join(sentences)
+        ends, at = set(), 0
+        for x in sentences:
+            at += len(x)
+            ends.add(at)
+        cuts = check(text, 2000, 200)
+        assert {e for _, e in cuts} <= ends, (low, high)
+        for (_, e), (s, _) in zip(cuts, cuts[1:]):
+            fits = min(x for x in ends if x > e) - e + 200 <= 2000 if e < len(text) else True
+            assert e - s >= (100 if fits else 0)
+
+
+def test_boundary_classes_in_their_order():
+    words = "alpha beta gamma " * 60
+    paragraph = words[:1100].rstrip() + ".\n\n" + words[:400].rstrip() + ". " + words + words
+    assert paragraph[: split(paragraph)[0][1]].endswith("\n\n")
+    clause = words[:1200].rstrip() + ", " + words * 3
+    assert clause[: split(clause)[0][1]].endswith(", ")
+    assert split(words * 4)[0][1] > 1000 and (words * 4)[split(words * 4)[0][1] - 1] == " "
+
+
+def test_overlap_in_text_without_blanks():
+    ideographs = "".join(chr(0x4E00 + (i * 7919) % 5000) for i in range(6000))
+    assert all(e - s == 200 for (_, e), (s, _) in zip(check(ideographs, 2000, 200), split(ideographs)[1:]))
+    sentences = "".join(ideographs[i : i + 300] + "。" for i in range(0, 6000, 300))
+    cuts = check(sentences, 2000, 200)
+    assert all(sentences[e - 1] == "。" for _, e in cuts) and all(e - s >= 100 for (_, e), (s, _) in zip(cuts, cuts[1:]))
+    check("e\u0301" * 3000, 2000, 200)
+
+
 def test_operator(spark):
     long = "One two three. " * 400
     rows = [(1, None, "a"), (2, "", "a"), (3, "short", "a"), (4, "y" * 2000, "a"), (5, "y" * 2001, "a"), (6, long, "b"), (6, long, "b"), (None, long, "c")]
