@@ -1,62 +1,58 @@
 """Frequency of every term by a vertical layout: compressed record bitmaps per term.
 
-Records are brought together, so each task numbers its records itself and no
-dictionary of records is needed: a block is up to 65,536 records of one task.
-Per term and block there is one container (sorted 16-bit numbers while they are
-fewer than 4,096, else 65,536 bits) and, in parallel, the counts of occurrences.
-Blocks of one build are disjoint, so the union over tasks is their sum and no
-container is shuffled; builds over the same numbering merge by ``union``.
-
-A record that holds a great share of the rows is spread over tasks by term:
-records need the same number only within a term.
+Records are numbered by a kept dictionary: a record's number never changes, and
+a batch's new records get new numbers.  A block is up to 65,536 numbers.  Per
+term and block there is a container (sorted 16-bit numbers while they are fewer
+than 4,096, else 65,536 bits) and, in parallel, the counts of occurrences.  Tasks
+and batches make containers of whatever rows they hold; those of one term and
+block are merged by union, their counters by sum, and document frequencies are
+read from the cardinalities.
+
+Nothing hangs on which rows a task sees: a record with very many rows can be
+split among tasks, and a task holds no more than ``FLUSH`` rows.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.plans.runtime import Scratch, ship
+from lacuna.plans.runtime import Folder, Scratch, ship
 
 BLOCK = 65_536
 DENSE = 4_096
-_FLUSH = 300_000
-_SALTS = 64
+FLUSH = 300_000
 _SCHEMA = "term string, block bigint, records binary, dense boolean, n_first bigint, n_second bigint"
 
 
-def containers(rec: pa.ChunkedArray, first: pa.ChunkedArray, second: pa.ChunkedArray, base: int) -> Iterator[pa.RecordBatch]:
-    """The index rows of one run of records, which are sorted; blocks are numbered from ``base``."""
-    n = len(rec)
-    terms = pa.chunked_array([*first.chunks, *second.chunks], pa.string()).combine_chunks().dictionary_encode()
+def containers(block: np.ndarray, low: np.ndarray, first: pa.Array, second: pa.Array) -> pa.RecordBatch:
+    """The index rows of some rows; block is -1 where a row has no record."""
+    n = len(block)
+    terms = pa.chunked_array([first, second], pa.string()).combine_chunks().dictionary_encode()
     words = terms.dictionary
     code = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids = rec.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    ids, role = np.concatenate((ids, ids)), np.repeat((0, 1), n)
+    names, which = np.unique(block, return_inverse=True)
+    group = np.concatenate((which, which)) + code * max(len(names), 1)
     there = code >= 0
-    code, ids, role = code[there], ids[there], role[there]
-    for b in range(int(max(ids.max(initial=0), 0)) // BLOCK + 1):
-        inside = (ids // BLOCK == b) | ((ids < 0) & (b == 0))  # rows without a record count as occurrences
-        t, r, who = code[inside], ids[inside], role[inside]
-        n_first, n_second = (np.bincount(t[who == k], minlength=len(words)) for k in (0, 1))
-        key = np.unique((t * BLOCK + r % BLOCK)[r >= 0])
-        owner, low = key // BLOCK, (key % BLOCK).astype("<u2")
-        card = np.bincount(owner, minlength=len(words))
-        used = np.flatnonzero(n_first + n_second)
-        ends = np.cumsum(card[used])
-        dense = card[used] >= DENSE
-        if dense.any():
-            parts = np.split(low, ends[:-1])
-            raw = pa.array([_bits(p) if d else p.tobytes() for p, d in zip(parts, dense, strict=True)], pa.binary())
-        else:
-            raw = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(np.r_[0, ends * 2].astype(np.int32)), pa.py_buffer(low.tobytes())])
-        yield pa.RecordBatch.from_arrays([words.take(pa.array(used)), pa.array(np.full(len(used), base + b)), raw, pa.array(dense), pa.array(n_first[used]), pa.array(n_second[used])], names=["term", "block", "records", "dense", "n_first", "n_second"])
+    used, at = np.unique(group[there], return_inverse=True)
+    role = np.repeat((0, 1), n)[there]
+    n_first, n_second = (np.bincount(at[role == k], minlength=len(used)) for k in (0, 1))
+    recorded = np.concatenate((block, block))[there] >= 0
+    key = np.unique(at[recorded] * BLOCK + np.concatenate((low, low))[there][recorded])
+    numbers_, card = (key % BLOCK).astype("<u2"), np.bincount(key // BLOCK, minlength=len(used))
+    ends, dense = np.cumsum(card), card >= DENSE
+    if dense.any():
+        raw = pa.array([_bits(p) if d else p.tobytes() for p, d in zip(np.split(numbers_, ends[:-1]), dense, strict=True)], pa.binary())
+    else:
+        raw = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(np.r_[0, ends * 2].astype(np.int32)), pa.py_buffer(numbers_.tobytes())])
+    of_term, of_block = used // max(len(names), 1), names[used % max(len(names), 1)] if len(used) else used
+    return pa.RecordBatch.from_arrays([words.take(pa.array(of_term)), pa.array(of_block), raw, pa.array(dense), pa.array(n_first), pa.array(n_second)], names=["term", "block", "records", "dense", "n_first", "n_second"])
 
 
 def _bits(numbers: np.ndarray) -> bytes:
@@ -72,88 +68,122 @@ def numbers(records: bytes, dense: bool) -> np.ndarray:
     return np.frombuffer(records, "<u2")
 
 
-def union(a: bytes, a_dense: bool, b: bytes, b_dense: bool) -> tuple[bytes, bool]:
-    """The container of the records in either."""
-    both = np.union1d(numbers(a, a_dense), numbers(b, b_dense))
-    return (_bits(both), True) if len(both) >= DENSE else (both.astype("<u2").tobytes(), False)
+def union(*parts: tuple[bytes, bool]) -> tuple[bytes, bool]:
+    """The container of the records in any of the containers."""
+    if any(dense for _, dense in parts):
+        bits = np.zeros(BLOCK // 8, np.uint8)
+        for raw, dense in parts:
+            bits |= np.frombuffer(raw if dense else _bits(numbers(raw, False)), np.uint8)
+        return bits.tobytes(), True
+    every = np.unique(np.concatenate([numbers(raw, False) for raw, _ in parts]))
+    return (_bits(every), True) if len(every) >= DENSE else (every.astype("<u2").tobytes(), False)
 
 
-def build_index(df: DataFrame, record: str, first: str, second: str | None = None) -> DataFrame:
-    """(term, block, records, dense, n_first, n_second) for df's term columns.
+def united(index: DataFrame) -> DataFrame:
+    """An index with one row a term and block: containers united, counters added.
 
-    Null and empty terms don't count; rows of a null record count as occurrences
-    without a record; repeated rows count each time; columns of other names are
-    not read.  An empty df gives an empty index.
+    A term's rows come together, so that what follows by term needs no shuffle;
+    there is one for each task and batch that saw the term in a block, however
+    often it occurs.
     """
-    ship(df.sparkSession)
-    scratch = Scratch(df.sparkSession, "vocabulary")
-    term = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c else F.lit(None).cast("string")
-    rows = df.select(F.col(record).cast("string").alias("rec"), term(first).alias("a"), term(second).alias("b")).where("a is not null or b is not null")
-    # Records with more than a 400th of all rows, 400 at most; null is such a record too.
-    per = scratch.save(rows.groupBy("rec").agg(F.count("*").alias("n")), "records")
-    total = per.agg(F.sum("n")).first()[0] or 0
-    hot = [r["rec"] for r in per.where(F.col("n") > max(total // 400, 10_000)).select("rec").collect()]
-    is_hot = F.lit(False)
-    if named := [h for h in hot if h is not None]:
-        is_hot = F.coalesce(F.col("rec").isin(named), F.lit(False))
-    is_hot = is_hot | F.col("rec").isNull()
-    cold = rows.where(~is_hot).withColumn("salt", F.lit(0))
-    spread = rows.where(is_hot).select("rec", F.explode(F.array(F.struct(F.col("a").alias("a"), F.lit(None).cast("string").alias("b")), F.struct(F.lit(None).cast("string").alias("a"), F.col("b").alias("b")))).alias("x"))
-    spread = spread.select("rec", "x.a", "x.b").where("a is not null or b is not null").withColumn("salt", F.pmod(F.xxhash64(F.coalesce("a", "b")), F.lit(_SALTS)).cast("int"))
-    placed = cold.unionByName(spread).repartition("rec", "salt").sortWithinPartitions("rec").select("rec", "a", "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < _FLUSH:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            last = t.column(0)[t.num_rows - 1]
-            same = pc.equal(t.column(0), last).fill_null(False)  # null records sort first and aren't part of the last one
-            cut = t.num_rows - int(pc.sum(same).as_py() or 0) if last.is_valid else 0
-            if cut <= 0:  # one record so far: go on until it ends
-                held, size = [*t.to_batches()], 0
-                continue
-            done = t.slice(0, cut)
-            for out in containers(done.column(0), done.column(1), done.column(2), base):
-                base += 1
-                yield out
-            held = t.slice(cut).to_batches()
-            size = t.num_rows - cut
-        if held:
-            t = pa.Table.from_batches(held)
-            for out in containers(t.column(0), t.column(1), t.column(2), base):
-                base += 1
-                yield out
-
-    return placed.mapInArrow(run, _SCHEMA)
+    from pyspark.sql.functions import arrow_udf
+
+    ship(index.sparkSession)
+
+    def unite(lists: pa.Array) -> pa.Array:
+        kind = pa.struct([("records", pa.binary()), ("dense", pa.bool_())])
+        done = [None if parts is None else dict(zip(("records", "dense"), union(*((p["records"], p["dense"]) for p in parts)), strict=True)) for parts in lists.to_pylist()]
+        return pa.array(done, kind)
+
+    part = F.struct("records", "dense")
+    g = index.repartition("term").groupBy("term", "block").agg(F.collect_list(part).alias("parts"), F.sum("n_first").alias("n_first"), F.sum("n_second").alias("n_second"))
+    several = arrow_udf(unite, "records binary, dense boolean")(F.when(F.size("parts") > 1, F.col("parts")))
+    return g.select("term", "block", F.coalesce(several, F.col("parts")[0]).alias("c"), "n_first", "n_second").select("term", "block", "c.records", "c.dense", "n_first", "n_second")
 
 
 def frequencies(index: DataFrame) -> DataFrame:
-    """(term, n_first, n_second, records) of an index whose containers are disjoint by block."""
+    """(term, n_first, n_second, records) of an index with one row a term and block."""
     card = F.when(F.col("dense"), F.expr("bitmap_count(records)")).otherwise(F.expr("octet_length(records) div 2")).cast("long")
     return index.groupBy("term").agg(F.sum("n_first").alias("n_first"), F.sum("n_second").alias("n_second"), F.sum(card).alias("records"))
 
 
-def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two indexes over the same record numbers (such as of two batches) as one: containers united, counts added."""
-    from pyspark.sql.functions import arrow_udf
+class Vocabulary:
+    """An index kept in a folder: the dictionary of records and the containers, batch by batch.
+
+    Opened at a folder that holds one already, it goes on from there.  A batch
+    counts once its commit file is there; one that broke off leaves no trace.
+    One writer at a time.
+    """
 
-    ship(a.sparkSession)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.folder = spark, Folder(spark, path)
+        self.path = self.folder.path
+
+    def parts(self) -> list[str]:
+        return [name.split(".")[1] for name in self.folder.names("commits")]
+
+    def _records(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.schema("rec string, block bigint, low int").parquet(*[f"{self.path}/records/{p}" for p in parts])
+
+    def add(self, df: DataFrame, record: str, first: str, second: str | None = None) -> None:
+        """Add df's rows.
+
+        Null and empty terms don't count; rows of a null record count as
+        occurrences without a record; repeated rows count each time, in later
+        batches too; columns of other names are not read.  An empty df adds
+        nothing.
+        """
+        ship(self.spark)
+        old, part = self.parts(), uuid.uuid4().hex
+        term = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c else F.lit(None).cast("string")
+        rec = F.col(record).cast("string").alias("rec")
+        new = df.select(rec).where("rec is not null").distinct()
+        if old:
+            new = new.join(self._records(old), "rec", "left_anti")
+        # A number is its batch, partition and place there; it is written once and stays.
+        new = new.withColumn("no", F.monotonically_increasing_id())
+        new = new.select("rec", (F.shiftright("no", 16) + F.lit(len(old) << 48)).alias("block"), F.col("no").bitwiseAND(BLOCK - 1).cast("int").alias("low"))
+        new.write.parquet(f"{self.path}/records/{part}")
+        rows = df.select(rec, term(first).alias("a"), term(second).alias("b")).where("a is not null or b is not null")
+        # Rows without a record find none, wherever they are; so they are dealt out evenly.
+        found = F.coalesce("rec", F.concat(F.lit("\x00"), F.pmod(F.xxhash64("a", "b"), F.lit(1 << 16)).cast("string")))
+        known = self._records([*old, part]).withColumnRenamed("rec", "found")
+        rows = rows.withColumn("found", found).drop("rec").join(known, "found", "left").select(F.coalesce("block", F.lit(-1).cast("bigint")).alias("block"), F.coalesce("low", F.lit(0)).alias("low"), "a", "b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+
+            def done() -> pa.RecordBatch:
+                t = pa.Table.from_batches(held).combine_chunks()
+                block, low = (t.column(c).to_numpy() for c in (0, 1))
+                return containers(block, low.astype(np.int64), *(t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0) for c in (2, 3)))
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, FLUSH):
+                    held.append(batch.slice(at, FLUSH))
+                    size += held[-1].num_rows
+                    if size >= FLUSH:
+                        yield done()
+                        held, size = [], 0
+            if size:
+                yield done()
+
+        rows.mapInArrow(run, _SCHEMA).write.parquet(f"{self.path}/containers/{part}")
+        self.folder.write(f"commits/{len(old):06d}.{part}", json.dumps({"record": record, "first": first, "second": second}))
+
+    def index(self) -> DataFrame:
+        """(term, block, records, dense, n_first, n_second), one row a term and block."""
+        parts = self.parts()
+        if not parts:
+            return self.spark.createDataFrame([], _SCHEMA)
+        return united(self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/containers/{p}" for p in parts]))
 
-    def unite(xs: pa.Array, xd: pa.Array, ys: pa.Array, yd: pa.Array) -> pa.Array:
-        out = [union(x, p, y, q) for x, p, y, q in zip(xs.to_pylist(), xd.to_pylist(), ys.to_pylist(), yd.to_pylist(), strict=True)]
-        return pa.array([{"records": r, "dense": d} for r, d in out], pa.struct([("records", pa.binary()), ("dense", pa.bool_())]))
 
-    both = arrow_udf(unite, "records binary, dense boolean")
-    x, y = a.alias("x"), b.alias("y")
-    j = x.join(y, ["term", "block"], "full")
-    none = F.unhex(F.lit(""))
-    u = both(F.coalesce("x.records", none), F.coalesce("x.dense", F.lit(False)), F.coalesce("y.records", none), F.coalesce("y.dense", F.lit(False)))
-    n = lambda c: (F.coalesce(f"x.{c}", F.lit(0)) + F.coalesce(f"y.{c}", F.lit(0))).alias(c)
-    return j.select("term", "block", u.alias("u"), n("n_first"), n("n_second")).select("term", "block", "u.records", "u.dense", "n_first", "n_second")
+def build_index(df: DataFrame, record: str, first: str, second: str | None = None) -> DataFrame:
+    """(term, block, records, dense, n_first, n_second) for one table's term columns; see Vocabulary."""
+    v = Vocabulary(df.sparkSession, f"{Scratch(df.sparkSession, 'vocabulary').root}/index")
+    v.add(df, record, first, second)
+    return v.index()
 
 
 def marked(freq: DataFrame, n_records: DataFrame, rare_most: int = 2, common_percent: int = 1) -> DataFrame:

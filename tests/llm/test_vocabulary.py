@@ -19,52 +19,58 @@ def brute(rows):
     return {(t, c[0], c[1], len(recs[t])) for t, c in n.items()}
 
 
-@pytest.mark.parametrize(("flush", "block", "dense"), [(300_000, 65_536, 4_096), (7, 4, 2)])
-def test_frequencies(spark, flush, block, dense, monkeypatch):
-    rng = random.Random(3)
-    rows = [(rng.choice([None, *[f"r{i}" for i in range(40)]]), rng.choice([None, "", "x", "y", f"t{rng.randrange(30)}"]), rng.choice([None, "x", f"t{rng.randrange(30)}"])) for _ in range(800)]
-    rows += [("hot", f"t{rng.randrange(30)}", "x") for _ in range(600)] + rows[:50]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "rec string, s string, o string, block int")
-    got = {tuple(r) for r in V.frequencies(V.build_index(df, "rec", "s", "o")).collect()}
-    assert got == brute(rows)
-
-
-def test_a_flush_between_null_and_other_records_cuts_no_record(spark, monkeypatch):
-    monkeypatch.setattr(V, "_FLUSH", 40)
-    rng = random.Random(5)
-    rows = [(rng.choice([None, None, *[f"r{i:02}" for i in range(20)]]), f"t{rng.randrange(3)}", rng.choice([None, "x"])) for _ in range(900)]
-    df = spark.createDataFrame(rows, "rec string, s string, o string")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
-    try:
-        got = {tuple(r) for r in V.frequencies(V.build_index(df, "rec", "s", "o")).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == brute(rows)
-
-
-def test_small_blocks_are_disjoint(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(V, "BLOCK", 8)
-    monkeypatch.setattr(V, "DENSE", 4)
-    monkeypatch.setattr(V, "_bits", lambda n: np.packbits(np.isin(np.arange(8), n).astype(np.uint8), bitorder="little").tobytes())
-    rec = pa.chunked_array([[f"r{i // 2:02}" for i in range(60)]])
-    a = pa.chunked_array([["x" if i % 3 else f"t{i}" for i in range(60)]])
-    b = pa.chunked_array([pa.nulls(60, pa.string())])
-    card = Counter()
-    for out in V.containers(rec, a, b, 0):
-        for t, r, d in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), out.column(3).to_pylist()):
-            card[t] += len(V.numbers(r, d))
-    assert card["x"] == 30 and sum(card.values()) == 50
+def random_rows(seed, n=800):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *[f"r{i}" for i in range(40)]]), rng.choice([None, "", "x", "y", f"t{rng.randrange(30)}"]), rng.choice([None, "x", f"t{rng.randrange(30)}"])) for _ in range(n)]
+    return rows + [("hot", f"t{rng.randrange(30)}", "x") for _ in range(n // 2)] + rows[:50]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1) for r in rows], "rec string, s string, o string, block int")
+
+
+@pytest.mark.parametrize("flush", [300_000, 7])
+def test_frequencies(spark, flush, monkeypatch):
+    monkeypatch.setattr(V, "FLUSH", flush)
+    rows = random_rows(3)
+    assert {tuple(r) for r in V.frequencies(V.build_index(frame(spark, rows), "rec", "s", "o")).collect()} == brute(rows)
+
+
+def test_batches_of_an_index_opened_anew_equal_the_whole(spark, tmp_path):
+    batches = [random_rows(5, 200), random_rows(6, 200), [], random_rows(7, 50)]
+    for rows in batches:
+        V.Vocabulary(spark, str(tmp_path)).add(frame(spark, rows), "rec", "s", "o")
+    index = V.Vocabulary(spark, str(tmp_path)).index()
+    assert {tuple(r) for r in V.frequencies(index).collect()} == brute([r for rows in batches for r in rows])
+    assert index.groupBy("term", "block").count().where("count > 1").isEmpty()
+
+
+def test_records_of_two_builds_stay_apart(spark, tmp_path):
+    v = V.Vocabulary(spark, str(tmp_path))
+    for low in (0, 5):
+        v.add(spark.createDataFrame([(f"r{i}", "x") for i in range(low, low + 5)], "rec string, s string"), "rec", "s")
+    assert [tuple(r) for r in V.frequencies(v.index()).collect()] == [("x", 10, 0, 10)]
+
+
+def test_a_batch_that_broke_off_leaves_no_trace(spark, tmp_path, monkeypatch):
+    v = V.Vocabulary(spark, str(tmp_path))
+    df = spark.createDataFrame([("r1", "x"), ("r2", "y")], "rec string, s string")
+    with monkeypatch.context() as m:
+        m.setattr(v.folder, "write", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            v.add(df, "rec", "s")
+    assert v.index().isEmpty()
+    v.add(df, "rec", "s")
+    assert {tuple(r) for r in V.frequencies(v.index()).collect()} == {("x", 1, 0, 1), ("y", 1, 0, 1)}
 
 
 def test_dense_container_and_union():
     many = np.arange(0, 60_000, 3).astype("<u2")
     bits = V._bits(many)
     assert (V.numbers(bits, True) == many).all()
-    raw, dense = V.union(bits, True, np.array([1, 3], "<u2").tobytes(), False)
+    raw, dense = V.union((bits, True), (np.array([1, 3], "<u2").tobytes(), False))
     assert dense and len(V.numbers(raw, dense)) == len(many) + 1
-    assert V.union(b"\x01\x00", False, b"\x01\x00\x02\x00", False) == (b"\x01\x00\x02\x00", False)
+    assert V.union((b"\x01\x00", False), (b"\x01\x00\x02\x00", False)) == (b"\x01\x00\x02\x00", False)
 
 
 def test_dense_cardinality_in_the_jvm(spark):
@@ -73,10 +79,10 @@ def test_dense_cardinality_in_the_jvm(spark):
     assert (row["n_first"], row["records"]) == (9000, 9000)
 
 
-def test_merged_indexes(spark):
+def test_united_indexes(spark):
     a = spark.createDataFrame([("x", 1, bytearray(b"\x01\x00\x05\x00"), False, 3, 0)], V._SCHEMA)
     b = spark.createDataFrame([("x", 1, bytearray(b"\x05\x00\x07\x00"), False, 2, 1), ("y", 1, bytearray(b"\x01\x00"), False, 1, 0)], V._SCHEMA)
-    got = {tuple(r) for r in V.frequencies(V.merged(a, b)).collect()}
+    got = {tuple(r) for r in V.frequencies(V.united(a.unionByName(b))).collect()}
     assert got == {("x", 5, 1, 3), ("y", 1, 0, 1)}
 
 
