@@ -142,5 +142,12 @@ m AS (SELECT s FROM d GROUP BY s HAVING count(*) > 1), x AS (SELECT d.* FROM d J
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id"""
 
 
+_P9_SHARED = """WITH d AS (SELECT doc_id, i, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+m AS (SELECT s FROM d GROUP BY s HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM d WHERE s IN (SELECT s FROM m)),
+c AS (SELECT doc_id, sum(least(200, i - coalesce(b, i - 200))) AS n FROM x GROUP BY doc_id)
+SELECT t.doc_id, length(text) AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars FROM documents t LEFT JOIN c ON c.doc_id = t.doc_id WHERE length(text) >= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000", "p1_checks": "SELECT seq, length(abstract) AS n_chars, true AS pieces_fit, true AS overlaps_fit, md5(abstract) AS rebuilt FROM papers WHERE length(abstract) > 2000", "p3_found": _P3, "p9_found": _P9}
+    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000", "p1_checks": "SELECT seq, length(abstract) AS n_chars, true AS pieces_fit, true AS overlaps_fit, md5(abstract) AS rebuilt FROM papers WHERE length(abstract) > 2000", "p3_found": _P3, "p9_found": _P9, "p9_shared": _P9_SHARED}

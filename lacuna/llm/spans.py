@@ -6,11 +6,15 @@ so chunk digests found in one text only are done with.  Of the others
 
 * a digest of few texts gives the text pairs, with the place of the chunk in
   each; chunks on one diagonal that touch add up, and where they reach ``span``
-  the pair is proven; the rest is compared by its texts;
+  the characters there are compared; the other pairs are compared by their texts;
 * a digest of many texts (boilerplate) is parted by what stands before and after
   the chunk, and, where that is common too, by every stretch of ``span``
-  characters around it.  What shares such a stretch is a pair; nothing that
-  merely shares the boilerplate is ever paired up.
+  characters around it (by 128 bits of hash).  What shares such a stretch is a
+  pair; nothing that merely shares the boilerplate is ever paired up.
+
+How often a digest, side or stretch occurs is counted before anything is brought
+together by it, and the counts are joined back, so a line that stands in every
+text is no task of its own.
 
 Exact copies are reduced to one text first.
 """
@@ -21,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import gear
 from lacuna.llm import signatures as G
 from lacuna.llm.shingles import mix
+from lacuna.plans import slots
 from lacuna.plans.runtime import Scratch, ship
 
 SPAN = 200
@@ -104,24 +109,31 @@ def _joined(p: DataFrame, key: str, same: str) -> DataFrame:
 _EITHER = "((ba = bb and ba != 0) or (aa = ab and aa != 0) or la >= {span})"
 
 
+def _repeated(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """The written rows whose key occurs more than once, with its number ``n``."""
+    counts = scratch.save(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    some = slots.flag(rows, key, slots.bitmap_of(counts, key), "maybe_there").where("maybe_there").drop("maybe_there")
+    return some.join(counts, key)
+
+
 def _stretches(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(stretch, doc, at): hashes and places of all stretches of ``span`` characters that hold a wanted (doc, place)."""
+    """(stretch, check, doc, at): two hashes and the places of all stretches of ``span`` characters that hold a wanted (doc, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.int64)
         for batch in batches:
-            out, who, where = [none.view(np.uint64)], [none], [none]
-            for doc, text, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = gear.windows(gear.code_points([text])[0], span)
-                start, size = place >> 20, place & ((1 << 20) - 1)
-                at = np.arange(max(0, start + size - span), min(start, len(h) - 1) + 1)
-                out.append(h[at])
-                who.append(np.full(len(at), doc))
-                where.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(where))], names=["stretch", "doc", "at"])
+            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cps = gear.code_points([text])[0]
+                start, size = np.array(places) >> 20, np.array(places) & ((1 << 20) - 1)
+                inside = np.zeros(len(cps) - span + 2, np.int64)  # where a stretch may begin, as steps up and down
+                np.add.at(inside, np.maximum(0, start + size - span), 1)
+                np.add.at(inside, np.minimum(start, len(cps) - span) + 1, -1)
+                at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+                h, check = gear.windows(cps, span)[at], gear.windows(cps ^ np.uint32(0x5BD1E995), span)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at)], names=["stretch", "check", "doc", "at"])
 
-    rows = G.only(docs, "doc", wanted.select(F.col("doc").alias("key")).distinct()).join(wanted.select("doc", "place"), "doc")
-    return rows.select("doc", "text", "place").mapInArrow(run, "stretch bigint, doc bigint, at bigint").distinct()
+    places = wanted.groupBy("doc").agg(F.collect_set("place").alias("places"))  # of one text: no more than its own chunks
+    rows = G.only(docs, "doc", wanted.select(F.col("doc").alias("key")).distinct()).join(places, "doc")
+    return rows.select("doc", "text", "places").mapInArrow(run, "stretch bigint, check bigint, doc bigint, at bigint")
 
 
 def shared_intervals(a: str, b: str, span: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -168,6 +180,18 @@ def _compared(pairs: DataFrame, docs: DataFrame, scratch: Scratch, span: int) ->
     return x.select("a", "b", "ta", "tb").mapInArrow(run, f"a bigint, b bigint, in_a {part}, in_b {part}")
 
 
+def _longest(runs: Column) -> Column:
+    """struct<size, lo> of the longest run of touching intervals of sorted array<struct<lo, hi>>."""
+
+    def grow(acc: Column, r: Column) -> Column:
+        lo = F.when(r.lo <= acc.hi, acc.lo).otherwise(r.lo)
+        hi = F.when(r.lo <= acc.hi, F.greatest(acc.hi, r.hi)).otherwise(r.hi)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.greatest(acc.best, F.struct((hi - lo).alias("size"), lo.alias("lo"))).alias("best"))
+
+    none, zero = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    return F.aggregate(runs, F.struct(none.alias("lo"), none.alias("hi"), F.struct(zero.alias("size"), zero.alias("lo")).alias("best")), grow)["best"]
+
+
 class SharedSpans:
     """Finds texts that share at least ``span`` characters.
 
@@ -189,38 +213,39 @@ class SharedSpans:
 
     def _meet(self) -> None:
         s, large, span = self.scratch, self.large, self.span
-        from pyspark.sql import Window
-
-        p = postings(self.docs, span)
-        p = p.withColumn("n", F.count("*").over(Window.partitionBy("digest"))).where("n > 1")
-        met = _unpacked(s.save(p, "met"))
+        met = _unpacked(s.save(_repeated(s.save(postings(self.docs, span), "postings"), "digest", s), "met"))
         either = _EITHER.format(span=span)
         found = [_joined(met.where(f"n <= {large}"), "digest", either)]
         # Many texts: by one side's surroundings, then by whole stretches.
-        hot = met.where(f"n > {large}")
+        hot = met.where(f"n > {large}").drop("n")
         sides = hot.select("*", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("c")), F.struct(F.lit(1).alias("side"), F.col("after").alias("c")))).alias("x")).where("x.c != 0")
-        sides = sides.withColumn("near", F.xxhash64("digest", "len", "x.side", "x.c")).drop("x", "n")
-        sides = s.save(sides.withColumn("n", F.count("*").over(Window.partitionBy("near"))).where("n > 1"), "sides")
+        sides = s.save(sides.withColumn("near", F.xxhash64("digest", "len", "x.side", "x.c")).drop("x"), "sides")
+        sides = s.save(_repeated(sides, "near", s), "met-sides")
         found.append(_joined(sides.where(f"n <= {large}"), "near", either))
-        wanted = sides.where(f"n > {large}").select("doc", "place").distinct()
-        stretches = _stretches(self.docs, s.save(wanted, "wanted"), span)
-        same = Window.partitionBy("stretch")
-        stretches = stretches.withColumns({"low": F.min("doc").over(same), "high": F.max("doc").over(same)}).where("low < high")
-        self.stretches = s.save(stretches.select("stretch", "doc", "at"), "stretches")
-        who = self.stretches.select("stretch", "doc").distinct()
-        self.by_stretch = who.toDF("stretch", "a").join(who.toDF("stretch", "b"), "stretch").where("a < b").select("a", "b").distinct()
+        wanted = s.save(sides.where(f"n > {large}").select("doc", "place").distinct(), "wanted")
+        stretches = s.save(_stretches(self.rows, wanted, span), "stretches")
+        common = s.save(stretches.groupBy("stretch", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("stretch", "check"), "common")
+        self.stretches = s.save(stretches.join(common, ["stretch", "check"]), "shared-stretches")
+        # Stretches side by side mostly stand in the same texts: one of them stands for all.
+        who = self.stretches.groupBy("stretch", "check", "doc").agg(F.lit(1).alias("one")).drop("one")
+        same = [F.sum(F.xxhash64(F.lit(i), "doc").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+        one = who.groupBy("stretch", "check").agg(F.count("*").alias("n"), *same).groupBy("n", "s1", "s2").agg(F.min(F.struct("stretch", "check")).alias("x")).select("x.*")
+        who = s.save(who.join(one, ["stretch", "check"], "left_semi"), "who")
+        self.by_stretch = who.withColumnRenamed("doc", "a").join(who.withColumnRenamed("doc", "b"), ["stretch", "check"]).where("a < b").select("a", "b").distinct()
         runs = found[0].unionByName(found[1]).groupBy("a", "b", "shift").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("runs"))
-        # The longest run of touching chunks on the diagonal.
-        grow = lambda acc, r: F.when(r.lo <= acc.hi, F.struct(acc.lo.alias("lo"), F.greatest(acc.hi, r.hi).alias("hi"), F.greatest(acc.best, F.greatest(acc.hi, r.hi) - acc.lo).alias("best"))).otherwise(F.struct(r.lo.alias("lo"), r.hi.alias("hi"), F.greatest(acc.best, r.hi - r.lo).alias("best")))
-        start = F.struct(F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), F.lit(0).cast("long").alias("best"))
-        best = F.aggregate("runs", start, grow)["best"]
-        self.candidates = s.save(runs.select("a", "b", best.alias("best")).groupBy("a", "b").agg(F.max("best").alias("best")), "candidates")
+        self.candidates = s.save(runs.select("a", "b", _longest(F.col("runs")).alias("best"), "shift").groupBy("a", "b").agg(F.max(F.struct("best", "shift")).alias("x")).select("a", "b", F.col("x.best.size").alias("best"), F.col("x.best.lo").alias("lo"), F.col("x.shift").alias("shift")), "candidates")
 
     def rep_pairs(self) -> DataFrame:
         """(a, b), a < b: different texts that share a span, each by the smallest key of its copies."""
-        sure = self.candidates.where(f"best >= {self.span}").select("a", "b").unionByName(self.by_stretch)
-        rest = _compared(self.candidates.where(f"best < {self.span}").select("a", "b"), self.docs, self.scratch, self.span)
-        return self.scratch.save(sure.unionByName(rest.select("a", "b")).distinct(), "pairs")
+        sure = self.candidates.where(f"best >= {self.span}")
+        texts = G.only(self.rows, "doc", sure.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        part = lambda at: F.substring("text", at.cast("int") + 1, F.lit(self.span))
+        x = sure.join(texts.withColumnRenamed("doc", "a"), "a").select("a", "b", "shift", "lo", part(F.col("lo")).alias("in_a"))
+        x = x.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "b", (part(F.col("lo") + F.col("shift")) == F.col("in_a")).alias("equal"))
+        sure = self.scratch.save(x, "sure")
+        open_ = self.candidates.where(f"best < {self.span}").select("a", "b").unionByName(sure.where("not equal").select("a", "b"))
+        rest = _compared(open_, self.rows, self.scratch, self.span)
+        return self.scratch.save(sure.where("equal").select("a", "b").unionByName(self.by_stretch).unionByName(rest.select("a", "b")).distinct(), "pairs")
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b): all pairs of rows that share a span, copies included."""
@@ -236,7 +261,7 @@ class SharedSpans:
         Texts below the span length are not listed.  Boilerplate counts by its
         stretches, without pairing up the texts that hold it.
         """
-        cmp = _compared(self.candidates.select("a", "b"), self.docs, self.scratch, self.span)
+        cmp = _compared(self.candidates.select("a", "b"), self.rows, self.scratch, self.span)
         parts = cmp.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("in_a").alias("parts")), F.struct(F.col("b").alias("doc"), F.col("in_b").alias("parts")))).alias("x"))
         parts = parts.select("x.doc", F.explode("x.parts").alias("p"))
         parts = parts.unionByName(self.stretches.select("doc", F.struct(F.col("at").alias("lo"), (F.col("at") + self.span).alias("hi")).alias("p")))

@@ -69,3 +69,24 @@ def test_every_shared_span_holds_a_common_chunk():
 def test_empty_table(spark):
     s = SharedSpans(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text")
     assert s.pairs().count() == 0 and s.coverage().count() == 0
+
+
+def test_a_line_in_every_text_is_no_task_of_its_own(spark):
+    rng = random.Random(3)
+    fresh = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    plate = fresh(260)
+    rows = [(i, fresh(100) + plate + fresh(150)) for i in range(400)] + [(400 + i, fresh(300)) for i in range(5)]
+    s = SharedSpans(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    assert s.pairs().count() == 400 * 399 // 2
+    assert "Window" not in s.by_stretch._jdf.queryExecution().toString()
+    cover = {r["doc"]: r["shared_chars"] for r in s.coverage().collect()}
+    assert all(cover[i] >= 260 for i in range(400)) and not any(cover[400 + i] for i in range(5))
+
+
+def test_two_hashes_that_meet_by_chance_make_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    core = fresh(400)
+    s = SharedSpans(spark.createDataFrame([(1, core + fresh(90)), (2, fresh(70) + core), (3, fresh(500)), (4, fresh(500))], "doc_id bigint, text string"), "doc_id", "text")
+    s.candidates = s.candidates.unionByName(spark.createDataFrame([(3, 4, 250, 10, 0)], "a bigint, b bigint, best bigint, lo bigint, shift bigint"))
+    assert [tuple(r) for r in s.rep_pairs().collect()] == [(1, 2)]
