@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lacuna.functions.draws import uniform
 from lacuna.functions.ids import id_form
 from lacuna.functions.text import chunk_words, strict_year, tokens, word_count
 from lacuna.operators import corpus, evaluation, orphans, retrieval
-from lacuna.plans.runtime import table
+from lacuna.plans.runtime import Scratch, table
 
 _id = lambda c: f"nullif(lower(regexp_replace({c}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')), '')"
 _WS = "[ \\t\\r\\n\\f\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
@@ -33,9 +35,27 @@ def _orphan_sources(spark: SparkSession, d: str) -> tuple:
     return refs, orphans.Source(table(spark, d, "papers"), "paperId", "collected_at"), orphans.Source(table(spark, d, "withdrawals"), "paperId", "withdrawn_at")
 
 
+def _ledger(spark: SparkSession, d: str, steps: int = 6) -> orphans.OrphanLedger:
+    """The tables taken in year by year of their times (several years at once beyond ``steps`` years), each step from the state that the last one left."""
+    refs, parents, gone = _orphan_sources(spark, d)
+    years = [r[0] for r in parents.df.select(F.year(parents.time)).distinct().where(F.year(parents.time).isNotNull()).collect()]  # calendar years
+    years = sorted(years)[1 :: max(1, -(-len(years) // steps))]
+    ledger = orphans.OrphanLedger(spark, f"{Scratch(spark, 'ledger').root}/ledger")
+    for low, high in zip([None, *years], [*years, None], strict=True):
+
+        def within(s: orphans.Source, low: int | None = low, high: int | None = high) -> orphans.Source:
+            t = F.col(s.time)
+            begins = F.lit(True) if low is None else t >= F.make_timestamp_ntz(F.lit(low), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+            ends = F.lit(True) if high is None else t < F.make_timestamp_ntz(F.lit(high), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+            return replace(s, df=s.df.where(begins & ends))
+
+        ledger.advance({name: within(s) for name, s in refs.items()}, within(parents), within(gone))
+    return ledger
+
+
 @query(f"{_STATE} SELECT ref_table, ref_seq FROM st WHERE turn = 2 AND coalesce(now, 0) = 0")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_references(*_orphan_sources(spark, d)).select("ref_table", "ref_seq")
+    return _ledger(spark, d).orphans().select("ref_table", "ref_seq")
 
 
 @query(
@@ -51,7 +71,7 @@ SELECT p.ref_table, printf('%04d-%02d', p.month // 12, p.month % 12 + 1) AS peri
 FROM per p LEFT JOIN orp o ON o.ref_table = p.ref_table AND o.month = p.month"""
 )
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_counts(*_orphan_sources(spark, d))
+    return _ledger(spark, d).counts()
 
 
 @query(

@@ -1,7 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
-from lacuna.operators.orphans import Source, orphan_counts, orphan_references
+import pytest
+
+from lacuna.operators.orphans import OrphanLedger, Source, orphan_counts, orphan_references
 from lacuna.streaming.orphans import track
 
 T0 = datetime(2024, 1, 10)
@@ -49,6 +51,38 @@ def test_ties_and_counts(spark):
     assert counts == {"2024-01": (0, 0), "2024-02": (1, 3), "2024-03": (1, 4), "2024-04": (0, 1), "2024-05": (0, 1)}
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_the_ledger_says_what_one_pass_would(spark, tmp_path, late):
+    rng = random.Random(9)
+    ids = ("a", "b", "c", " D\n", None)
+    parents, gone = ([(rng.choice(ids), rng.choice([None, *range(0, 400, 9)])) for _ in range(n)] for n in (24, 14))
+    refs = [(k, rng.choice(ids), rng.choice([None, *range(0, 400, 5)])) for k in range(150)]
+    when = lambda r: rng.randrange(4) if late else min(3, (r[-1] or 0) // 100)
+    step = [[(r, when(r)) for r in rows] for rows in (parents, gone, refs)]
+    for n in range(4):
+        OrphanLedger(spark, str(tmp_path)).advance(*sources(spark, *[[r for r, at in rows if at == n] for rows in step]))
+    ledger, whole = OrphanLedger(spark, str(tmp_path)), sources(spark, parents, gone, refs)
+    assert sorted(r["ref_seq"] for r in ledger.orphans().collect()) == brute(parents, gone, refs)
+    assert sorted(map(tuple, ledger.counts().collect())) == sorted(map(tuple, orphan_counts(*whole).collect()))
+
+
+def test_a_late_parent_takes_back_an_orphan(spark, tmp_path):
+    ledger = OrphanLedger(spark, str(tmp_path))
+    ledger.advance(*sources(spark, [], [], [(1, "a", 5), (2, "b", 5)]))
+    ledger.advance(*sources(spark, [("a", 1)], [], []))
+    assert [r["ref_seq"] for r in ledger.orphans().collect()] == [2]
+    assert {r["period"]: (r["orphans"], r["open_at_end"]) for r in ledger.counts().collect()} == {"2024-01": (1, 1)}
+
+
+def test_a_step_that_broke_off_leaves_no_trace(spark, tmp_path, monkeypatch):
+    ledger = OrphanLedger(spark, str(tmp_path))
+    with monkeypatch.context() as m:
+        m.setattr(ledger.folder, "write", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            ledger.advance(*sources(spark, [("a", 1)], [], [(1, "b", 5)]))
+    assert ledger.orphans().isEmpty() and ledger.counts().isEmpty()
+
+
 def test_empty_tables(spark):
     args = sources(spark, [], [], [])
     assert orphan_references(*args).count() == 0 and orphan_counts(*args).count() == 0
