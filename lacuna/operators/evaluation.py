@@ -9,6 +9,7 @@ from lacuna.functions.draws import uniform
 from lacuna.functions.text import words
 
 DECISIONS = ("Accept", "Modify", "Reject", "Pending")
+CONTRACTS = ("provenance_only", "specificity_only", "path_diversity_only", "perturbation_only", "hard_contract_without_perturbation", "full_without_coverage_screen", "full_evidence_contract")
 STATUSES = ("review_required", "rejected", "automatically_eligible")
 
 

@@ -215,6 +215,5 @@ def ablation_counts_all(spark: SparkSession, d: str) -> DataFrame:
 def gate_ablation(spark: SparkSession, d: str) -> DataFrame:
     """How many candidates each reduced contract would let through."""
     x = evaluation.ablation_predictions(_decisions(spark, d)[1])
-    names = ["provenance_only", "specificity_only", "path_diversity_only", "perturbation_only", "hard_contract_without_perturbation", "full_without_coverage_screen", "full_evidence_contract"]
-    row = x.agg(*[F.sum(c).alias(c) for c in names])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("contract"), F.coalesce(F.col(c), F.lit(0)).alias("passed")) for c in names])).alias("x")).select("x.*")
+    row = x.agg(*[F.sum(c).alias(c) for c in evaluation.CONTRACTS])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("contract"), F.coalesce(F.col(c), F.lit(0)).alias("passed")) for c in evaluation.CONTRACTS])).alias("x")).select("x.*")

@@ -1,86 +1,54 @@
 """The gate on planted candidates: sixteen kinds a seed, four of them sound."""
 
-from itertools import combinations
-
+import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import evaluation, gate
-from lacuna.operators.candidates import facts
+from lacuna.operators import evaluation, gate, planted
+from lacuna.plans import benchmark
+
+SEEDS = 4
 
-EDGES = "edge_seq bigint, u string, v string, relation string, source_paper string, year int, evidence string"
-CANDIDATES = "candidate string, family string, head string, tail string, concept string, community string, members array<string>, entities array<string>, prediction_score double, inter_edge_ratio double, decay_rate double, peak_year int, search_performed boolean, label int, kind string"
-TOTALS = {2022: 20, 2023: 20, 2024: 100, 2025: 100, 2026: 40}
 
+@pytest.fixture(scope="module")
+def facts(spark):
+    return benchmark.Scratch(spark, "facts").save(benchmark.facts(spark, SEEDS), "facts")
 
-def build(seeds):
-    """Every case has nodes of its own ('case/name'), so one graph holds them all."""
-    edges, cands, pool, aliases = [], [], [], []
 
-    def edge(case, u, v, paper, year):
-        edges.append((len(edges), f"{case}/{u}", f"{case}/{v}", "USES", f"{case}/{paper}", year, ""))
+def test_only_sound_candidates_pass(facts):
+    rows = gate.decide(facts).select("kind", "label", "status", "reasons").collect()
+    wrong = [r for r in rows if (r["status"] == "automatically_eligible") != bool(r["label"])]
+    assert len(planted.KINDS) == 16 and len(rows) == 16 * SEEDS and not wrong, wrong[:3]
+    reasons = {}
+    for r in rows:
+        reasons.setdefault(r["kind"], set()).update(r["reasons"])
+    assert "possible_prior_coverage_found_in_local_corpus" in reasons["known by other names"] & reasons["known with type words"]
+    assert "canonical_self_link" in reasons["one thing twice"] and "generic_or_underspecified_entities" in reasons["names of nothing"]
+    assert "insufficient_source_disjoint_evidence_paths" in reasons["one route"] & reasons["routes of one paper"]
+    assert "observed_relation_requires_qualified_review" in reasons["linked already"]
+    assert "insufficient_independent_paper_support" in reasons["apart in one study"]
+    assert all("unstable_under_multi_mode_perturbation" in reasons[k] for k in ("search finds the link", "search bridges it", "papers fall, share stays", "last year unfinished"))
 
-    def link(case, kind, label, head, tail, middles, papers, **more):
-        for m, (a, b) in zip(middles, papers):
-            edge(case, head, m, a, 2022)
-            edge(case, m, tail, b, 2024)
-        clean = [x.split(" [")[0] for x in (head, tail)]
-        cands.append((case, "missing_link", f"{case}/{head}", f"{case}/{tail}", None, None, None, clean, 5.0, None, None, None, True, label, kind))
 
-    four, two = [("a", "b"), ("c", "d")], ["middle one", "middle two"]
-    for s in seeds:
-        h, t = f"packet capture forensics {s}", f"sidecar proxy metrics {s}"
-        case = lambda kind: f"{s}-{kind}"  # noqa: B023, E731
-        link(case("sound"), "sound", 1, h, t, two, four)
-        link(case("short"), "short", 1, "mTLS", "SPIFFE", two, four)
-        link(case("existing"), "existing", 0, h, t, two, four)
-        edge(case("existing"), h, t, "x", 2025)
-        link(case("generic"), "generic", 0, "proposed method", "system", two, four)
-        link(case("single"), "single", 0, h, t, two[:1], four)
-        link(case("shared"), "shared", 0, h, t, two, [("same", "a"), ("same", "b")])
-        link(case("plausible"), "plausible", 0, h, t, two, four)
-        pool.append((case("plausible"), "1", f"{case('plausible')}/{t}", f"{case('plausible')}/{h}", "low", None))
-        link(case("synonym"), "synonym", 0, h, t, two, four)
-        aliases += [(case("synonym"), 0, "packet capture analysis"), (case("synonym"), 1, "sidecar proxy telemetry")]
-        link(case("typed"), "typed", 0, "JWT [METHOD]", "OAuth", two, four)
-        link(case("self"), "self", 0, "Latency [CONCEPT]", "latency [METRIC]", two, four)
-        for kind, label, paper in (("cluster", 1, None), ("one study", 0, "study"), ("bridged", 0, None)):
-            c, names = case(kind), [f"consent ledger concept {s} {i}" for i in range(5)]
-            for n, (a, b) in enumerate(combinations(names, 2)):
-                edge(c, a, b, paper or f"p{n}", 2023)
-            edge(c, names[0], "outside", "bridge", 2024)
-            cands.append((c, "orphan_cluster", None, None, None, c, [f"{c}/{n}" for n in names], names, None, 0.1, None, None, True, label, kind))
-            if kind == "bridged":
-                pool += [(c, str(i), f"{c}/{n}", f"{c}/far {i}", None, None) for i, n in enumerate(names)]
-        for kind, label, per, peak in (("decline", 1, {2022: 4, 2023: 4, 2024: 3, 2025: 3}, 2022), ("steady", 0, {2022: 4, 2023: 4, 2024: 20, 2025: 20}, 2022), ("partial", 0, {2022: 4, 2023: 4, 2024: 20, 2025: 20, 2026: 1}, 2025)):
-            c, name = case(kind), f"lattice signature onboarding {s}"
-            for year, n in per.items():
-                for i in range(n):
-                    edge(c, name, f"work {year} {i}", f"t{year}{i}", year)
-            cands.append((c, "temporal_decay", None, None, f"{c}/{name}", None, None, [name], None, None, 0.7, peak, True, label, kind))
-    docs = [("1", 2025, "packet capture analysis beside sidecar-proxy telemetry"), ("2", 2025, "oauth2 and jwt for gateways")]
-    return edges, cands, pool, aliases, docs
+def test_reduced_contracts_let_more_through(facts):
+    got = {r["contract"]: (r["tp"], r["fp"], r["fn"], r["f1"]) for r in benchmark.contracts(facts).collect()}
+    assert got["full_evidence_contract"] == (4 * SEEDS, 0, 0, 1.0)
+    assert got["full_without_coverage_screen"][:3] == (4 * SEEDS, 2 * SEEDS, 0)  # the two that coverage finds
+    assert got["provenance_only"][1] > got["perturbation_only"][1] > got["full_without_coverage_screen"][1]
 
 
-def test_only_sound_candidates_pass(spark):
-    edges, cands, pool, aliases, docs = build(range(6))
-    f = facts(
-        spark.createDataFrame(edges, EDGES),
-        spark.createDataFrame(cands, CANDIDATES),
-        spark.createDataFrame(docs, "doc string, year int, text string"),
-        gate.Settings(),
-        plausible=spark.createDataFrame(pool, "candidate string, item string, head string, tail string, paper string, year int"),
-        aliases=spark.createDataFrame(aliases, "candidate string, entity_no int, label string"),
-        publications=spark.createDataFrame(list(TOTALS.items()), "year int, publications bigint"),
-        end_year=2025,
-    )
-    d = gate.decide(f)
-    rows = d.select("kind", "label", "status", "reasons", "s_edge", "s_paper", "s_add").collect()
-    wrong = [r for r in rows if (r["status"] == "automatically_eligible") != bool(r["label"])]
-    assert len(rows) == 96 and not wrong, wrong[:3]
-    reasons = {r["kind"]: set(r["reasons"]) for r in rows}
-    assert "possible_prior_coverage_found_in_local_corpus" in reasons["synonym"] & reasons["typed"]
-    assert "canonical_self_link" in reasons["self"] and "generic_or_underspecified_entities" in reasons["generic"]
-    full = evaluation.confusion(evaluation.ablation_predictions(d).withColumn("prediction", F.col("full_evidence_contract"))).first()
-    assert (full["tp"], full["fp"], full["tn"], full["fn"], full["f1"]) == (24, 0, 72, 0, 1.0)
-    less = evaluation.confusion(evaluation.ablation_predictions(d).withColumn("prediction", F.col("full_without_coverage_screen"))).first()
-    assert (less["tp"], less["fp"], less["fn"]) == (24, 12, 0)
+def test_grid_and_best_setting(spark):
+    grid = benchmark.grid(spark, 2, keeps=(0.7, 0.95), repeats=(50,), stabilities=(0.7, 0.95)).cache()
+    rows = {(r["keep"], r["min_stability"]): r["f1"] for r in grid.collect()}
+    assert len(rows) == 4 and rows[(0.95, 0.7)] == 1.0 and rows[(0.7, 0.95)] < 1.0
+    best = evaluation.best_setting(grid).first()
+    assert (best["keep"], best["min_stability"], best["f1"]) == (0.95, 0.7, 1.0)
+
+
+def test_weight_schemes(facts):
+    got = {r["scheme"]: r["average_precision"] for r in benchmark.schemes(facts, 4 * SEEDS).collect()}
+    assert set(got) == set(benchmark.SCHEMES) and all(0.4 < v <= 1.0 for v in got.values()) and got["specificity"] <= got["equal"]
+
+
+def test_no_seed_gives_empty_tables(spark):
+    t = planted.tables(spark, 0)
+    assert t["edges"].isEmpty() and t["candidates"].isEmpty() and t["candidates"].select(F.col("members")).columns == ["members"]
