@@ -17,14 +17,14 @@ def table(links: DataFrame | None, clusters: DataFrame | None, members: DataFram
 
     links as of detect.common_neighbor_links, clusters of detect.orphan_clusters
     with members (node, community), decays of detect.temporal_decay; None leaves a
-    family out.  A cluster is defined by its ten first members.
+    family out.  A cluster is defined by its twelve first members.
     """
     parts = []
     if links is not None:
         parts.append(links.select(F.concat_ws(" | ", F.lit("missing_link"), "head", "tail").alias("candidate"), F.lit("missing_link").alias("family"), "head", "tail", F.array("head", "tail").alias("entities"), "prediction_score"))
     if clusters is not None:
         m = members.toDF("node", "community").join(clusters.select("community"), "community", "left_semi").groupBy("community").agg(F.sort_array(F.collect_list("node")).alias("members"))
-        parts.append(clusters.join(m, "community").select(F.concat_ws(" | ", F.lit("orphan_cluster"), F.col("community").cast("string")).alias("candidate"), F.lit("orphan_cluster").alias("family"), F.col("community").cast("string").alias("community"), F.slice("members", 1, 10).alias("entities"), "members", "inter_edge_ratio"))
+        parts.append(clusters.join(m, "community").select(F.concat_ws(" | ", F.lit("orphan_cluster"), F.col("community").cast("string")).alias("candidate"), F.lit("orphan_cluster").alias("family"), F.col("community").cast("string").alias("community"), F.slice("members", 1, 12).alias("entities"), "members", "inter_edge_ratio"))
     if decays is not None:
         parts.append(decays.select(F.concat_ws(" | ", F.lit("temporal_decay"), "concept").alias("candidate"), F.lit("temporal_decay").alias("family"), "concept", F.array("concept").alias("entities"), "decay_rate", "peak_year"))
     out = parts[0]
@@ -94,10 +94,11 @@ def facts(
     pool = scratch.save(pool, "pool")
     opts = {"repeats": s.repeats, "seed": s.seed}
 
-    p = scratch.save(paths.independent_paths(edges, links, s.max_path_length), "paths")
-    counts = links.join(p.groupBy("head", "tail").agg(F.count("*").alias("paths"), F.size(F.array_distinct(F.flatten(F.collect_list("papers")))).alias("papers")), ["head", "tail"], "left").na.fill(0, ["paths", "papers"])
-    by_edge = stability.link_survival(p, "edges", "edge", s.edge_keep, min_paths=s.min_surviving_paths, **opts).withColumnRenamed("survival", "s_edge")
-    by_paper = stability.link_survival(p, "papers", "paper", s.paper_keep, min_paths=s.min_surviving_paths, **opts).withColumnRenamed("survival", "s_paper")
+    p = scratch.save(paths.independent_paths(edges, links, s.max_path_length, sources), "paths")
+    of_paths = scratch.save(paths.path_papers(p, sources), "papers")
+    counts = links.join(p.groupBy("head", "tail").agg(F.count("*").alias("paths")), ["head", "tail"], "left").join(of_paths.groupBy("head", "tail").agg(F.count_distinct("item").alias("papers")), ["head", "tail"], "left").na.fill(0, ["paths", "papers"])
+    by_edge = stability.link_survival(paths.path_edges(p), "edge", s.edge_keep, min_paths=s.min_surviving_paths, **opts).withColumnRenamed("survival", "s_edge")
+    by_paper = stability.link_survival(of_paths, "paper", s.paper_keep, min_paths=s.min_surviving_paths, **opts).withColumnRenamed("survival", "s_paper")
     added = pool.join(links, "candidate").select("head", "tail", "item")
     by_add = stability.link_addition_survival(counts.select("head", "tail", "paths"), added, s.add_probability, min_paths=s.min_surviving_paths, **opts).withColumnRenamed("survival", "s_add")
     known = pairs.select(F.col("a").alias("head"), F.col("b").alias("tail"), F.lit(True).alias("existing_edge"))
@@ -111,10 +112,10 @@ def facts(
     groups = candidates.where("family = 'orphan_cluster'").select("community", "candidate", F.explode("members").alias("node"))
     m = groups.select("node", "community")
     named = groups.select("community", "candidate").distinct()
-    at = scratch.save(stability.cluster_edges(pairs, m, sources), "at")
+    at = scratch.save(stability.cluster_edges(pairs, m), "at")
     per = named.join(gate.internal_papers(edges, m), "community", "left")
     for mode, keep, name in (("edge", s.edge_keep, "s_edge"), ("paper", s.paper_keep, "s_paper")):
-        per = per.join(stability.cluster_survival(at, mode, keep, isolation=s.isolation, **opts).withColumnRenamed("survival", name), "community", "left")
+        per = per.join(stability.cluster_survival(at, mode, keep, isolation=s.isolation, sources=sources, **opts).withColumnRenamed("survival", name), "community", "left")
     added = pool.join(named, "candidate").select("community", "item")
     per = per.join(stability.cluster_addition_survival(at, added, s.add_probability, isolation=s.isolation, **opts).withColumnRenamed("survival", "s_add"), "community", "left")
     rest = [F.lit(0).alias("paths"), F.lit(False).alias("existing_edge")]

@@ -264,6 +264,11 @@ def temporal_decay(edges: DataFrame, lookback: int = 2, threshold: float | None
     return x.select(F.col("node").alias("concept"), "decay_rate", "peak_year", "peak_activity", "recent_activity", "earlier_activity", "total_activity", "analysis_end_year")
 
 
+def by_decay(decays: DataFrame) -> DataFrame:
+    """The steepest decline first, then by name (F8)."""
+    return decays.orderBy(F.desc("decay_rate"), "concept")
+
+
 def temporal_profiles(edges: DataFrame, snapshot_date: str | None = None) -> DataFrame:
     """(node, year, papers, rate) for every year of the range, zero-filled."""
     b = year_bounds(edges, snapshot_date)

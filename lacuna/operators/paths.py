@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators import graph
+from lacuna.plans.runtime import Scratch
+
+
+MAX_ROUNDS = 500
 
 
 def edge_papers(edges: DataFrame) -> DataFrame:
-    """(a, b, papers): the distinct papers on all relation events between two nodes, both directions."""
-    e = edges.where("source_paper is not null").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "source_paper")
-    return e.groupBy("a", "b").agg(F.sort_array(F.collect_set("source_paper")).alias("papers"))
+    """(a, b, paper): the distinct papers on all relation events between two nodes, both directions, one row each."""
+    return edges.where("source_paper is not null").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.col("source_paper").alias("paper")).distinct()
 
 
 def _walks(starts: DataFrame, adj: DataFrame, steps: int) -> list[DataFrame]:
@@ -52,36 +55,65 @@ def shortest_paths(pairs: DataFrame, candidates: DataFrame, cutoff: int = 4, max
     return simple_paths(pairs, candidates, cutoff).withColumn("path_no", F.row_number().over(w)).where(F.col("path_no") <= max_paths)
 
 
-def traced(paths: DataFrame, sources: DataFrame) -> DataFrame:
-    """(head, tail, nodes, edges, papers) of the paths whose every edge has a paper (Q14)."""
-    hop = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct(F.least(F.element_at("nodes", i), F.element_at("nodes", i + 1)).alias("a"), F.greatest(F.element_at("nodes", i), F.element_at("nodes", i + 1)).alias("b")))
-    x = paths.select("head", "tail", "nodes", F.explode(hop).alias("e"), F.size("nodes").alias("n"))
-    x = x.join(sources.select(F.struct("a", "b").alias("e"), "papers"), "e")
-    g = x.groupBy("head", "tail", "nodes", "n").agg(F.count("*").alias("found"), F.sort_array(F.collect_list("e")).alias("edges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("papers")))).alias("papers"))
-    return g.where(F.col("found") == F.col("n") - 1).select("head", "tail", "nodes", "edges", "papers")
+def _hops(nodes: Column) -> Column:
+    """The edges (a, b) along an array of nodes."""
+    ends = lambda f, i: f(F.element_at(nodes, i), F.element_at(nodes, i + 1))
+    return F.transform(F.sequence(F.lit(1), F.size(nodes) - 1), lambda i: F.struct(ends(F.least, i).alias("a"), ends(F.greatest, i).alias("b")))
 
 
-def _greedy(paths: Column) -> Column:
-    """Of sorted paths, each one that shares no edge and no paper with those taken before."""
-    kind = "array<struct<n:int,nodes:array<string>,edges:array<struct<a:string,b:string>>,papers:array<string>>>"
+def path_edges(paths: DataFrame) -> DataFrame:
+    """(head, tail, path_no, item): an edge a row, as 'a~b'."""
+    return paths.select("head", "tail", "path_no", F.explode(_hops(F.col("nodes"))).alias("e")).select("head", "tail", "path_no", F.concat_ws("~", "e.a", "e.b").alias("item"))
 
-    def step(taken: Column, p: Column) -> Column:
-        edges = F.flatten(F.transform(taken, lambda t: t.edges))
-        papers = F.flatten(F.transform(taken, lambda t: t.papers))
-        clash = (F.size(F.array_intersect(edges, p.edges)) > 0) | (F.size(F.array_intersect(papers, p.papers)) > 0)
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(p)))
 
-    return F.aggregate(paths, F.array().cast(kind), step)
+def path_papers(paths: DataFrame, sources: DataFrame) -> DataFrame:
+    """(head, tail, path_no, item): a paper on the path's edges a row; sources as of edge_papers."""
+    x = paths.select("head", "tail", "path_no", F.explode(_hops(F.col("nodes"))).alias("e")).select("head", "tail", "path_no", "e.a", "e.b")
+    return x.join(sources, ["a", "b"]).select("head", "tail", "path_no", F.col("paper").alias("item")).distinct()
 
 
-def independent_paths(edges: DataFrame, candidates: DataFrame, cutoff: int = 4) -> DataFrame:
-    """(head, tail, path_no, nodes, edges, papers): evidence paths that are edge- and paper-disjoint.
+def independent_paths(edges: DataFrame, candidates: DataFrame, cutoff: int = 4, sources: DataFrame | None = None) -> DataFrame:
+    """(head, tail, path_no, nodes): evidence paths that are edge- and paper-disjoint.
 
-    Taken greedily, shortest first, then by their nodes; only paths with a paper
-    on every edge count.
+    As if taken greedily, shortest first, then by their nodes; only paths with a
+    paper on every edge count (Q14).  Paths are rows throughout: in a round every
+    path is taken that is the first of all that are left to hold each of its
+    edges and papers, and what shares one with a path taken falls away.  That is
+    what the greedy order gives, in rounds instead of one by one.
     """
-    p = traced(simple_paths(graph.simple(edges), candidates, cutoff), edge_papers(edges))
-    row = F.struct(F.size("nodes").alias("n"), "nodes", "edges", "papers")
-    g = p.groupBy("head", "tail").agg(F.sort_array(F.collect_list(row)).alias("all"))
-    x = g.select("head", "tail", F.posexplode(_greedy(F.col("all"))).alias("i", "p"))
-    return x.select("head", "tail", (F.col("i") + 1).alias("path_no"), "p.nodes", "p.edges", "p.papers")
+    scratch = Scratch(edges.sparkSession, "independent")
+    sources = scratch.save(edge_papers(edges), "sources") if sources is None else sources
+    found = simple_paths(graph.simple(edges), candidates, cutoff)
+    # A global sort, then a row's partition and place in it: numbers in the greedy order, written once.
+    found = scratch.save(found.orderBy("head", "tail", F.size("nodes"), "nodes").withColumn("no", F.monotonically_increasing_id()), "found")
+    hops = found.select("no", "head", "tail", (F.size("nodes") - 1).alias("n"), F.explode(_hops(F.col("nodes"))).alias("e")).select("no", "head", "tail", "n", "e.a", "e.b")
+    known = hops.join(sources.select("a", "b").distinct(), ["a", "b"])
+    whole = known.groupBy("no", "n").agg(F.count("*").alias("known")).where("known = n").select("no")
+    hops = scratch.save(known.join(whole, "no", "left_semi"), "hops")
+    items = hops.select("no", "head", "tail", F.concat_ws("~", F.lit("edge"), "a", "b").alias("item"))
+    items = scratch.save(items.unionByName(hops.join(sources, ["a", "b"]).select("no", "head", "tail", F.concat_ws("~", F.lit("paper"), "paper").alias("item")).distinct()), "items")
+    taken = None
+    for turn in range(MAX_ROUNDS):
+        if items.isEmpty():
+            break
+        pair = ["head", "tail", "item"]
+        first = items.groupBy(*pair).agg(F.min("no").alias("first"))
+        now = scratch.save(items.join(first, pair).groupBy("no").agg(F.every(F.col("no") == F.col("first")).alias("ok")).where("ok").select("no"), f"taken{turn}")
+        used = items.join(now, "no", "left_semi").select(*pair).distinct()
+        gone = items.join(used, pair, "left_semi").select("no").distinct()
+        left = scratch.save(items.join(gone, "no", "left_anti"), f"items{turn}")
+        scratch.drop(items)
+        items, taken = left, now if taken is None else taken.unionByName(now)
+    else:
+        raise RuntimeError(f"paths are undecided after {MAX_ROUNDS} rounds")
+    chosen = found.join(taken, "no", "left_semi") if taken is not None else found.limit(0)
+    by = Window.partitionBy("head", "tail").orderBy("no")  # disjoint paths: no more than the smaller end has neighbours
+    return chosen.withColumn("path_no", F.row_number().over(by)).select("head", "tail", "path_no", "nodes")
+
+
+def evidence(edges: DataFrame, candidates: DataFrame, cutoff: int = 4, max_paths: int = 3) -> DataFrame:
+    """(head, tail, path_no, nodes): up to ``max_paths`` independent evidence paths of each pair; where it has none, its shortest paths."""
+    scratch = Scratch(edges.sparkSession, "evidence")
+    own = scratch.save(independent_paths(edges, candidates, cutoff).where(F.col("path_no") <= max_paths), "independent")
+    rest = candidates.select("head", "tail").distinct().join(own.select("head", "tail").distinct(), ["head", "tail"], "left_anti")
+    return own.unionByName(shortest_paths(graph.simple(edges), rest, cutoff, max_paths).select(*own.columns))

@@ -66,3 +66,14 @@ def inversion(resolved: DataFrame, families: DataFrame) -> DataFrame:
     """
     x = resolved.join(families.select("candidate", "family"), "candidate")
     return x.groupBy("paper_id").agg(F.count_distinct("candidate").alias("candidates"), F.sort_array(F.collect_set("family")).alias("families"))
+
+
+def listed(resolved: DataFrame) -> DataFrame:
+    """resolve's rows in reading order: by candidate, newest papers first, then by title."""
+    return resolved.orderBy("candidate", F.desc(F.coalesce("paper_year", F.lit(0))), F.lower("title"), "paper_id")
+
+
+def by_support(inverted: DataFrame, papers: DataFrame) -> DataFrame:
+    """inversion's rows with the papers of most candidates first, then the newest, then by title."""
+    x = inverted.join(paper_cards(papers).select("paper_id", "title", "paper_year"), "paper_id", "left")
+    return x.orderBy(F.desc("candidates"), F.desc(F.coalesce("paper_year", F.lit(0))), F.lower(F.coalesce("title", F.lit(""))), "paper_id").select(*inverted.columns)

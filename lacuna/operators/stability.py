@@ -22,15 +22,12 @@ def _kept(seed: int, mode: str, item: Column, keep: float) -> Column:
     return uniform(F.lit(seed), F.lit(mode), F.col("replicate"), item) <= keep
 
 
-def link_survival(paths: DataFrame, item: str, mode: str, keep: float = 0.95, repeats: int = 50, seed: int = 42, min_paths: int = 1) -> DataFrame:
+def link_survival(items: DataFrame, mode: str, keep: float = 0.95, repeats: int = 50, seed: int = 42, min_paths: int = 1) -> DataFrame:
     """(head, tail, survival): share of replicates in which min_paths paths keep all of their items.
 
-    paths: (head, tail, path_no, <item>), item an array column: edges or papers.
+    items: (head, tail, path_no, item), as of paths.path_edges or paths.path_papers.
     """
-    x = paths.select("head", "tail", "path_no", F.explode(item).alias("i"))
-    x = replicates(x, repeats)
-    name = F.concat_ws("~", "i.a", "i.b") if item == "edges" else F.col("i")
-    whole = x.groupBy("head", "tail", "replicate", "path_no").agg(F.every(_kept(seed, mode, F.concat_ws("|", "head", "tail", name), keep)).alias("whole"))
+    whole = replicates(items, repeats).groupBy("head", "tail", "replicate", "path_no").agg(F.every(_kept(seed, mode, F.concat_ws("|", "head", "tail", "item"), keep)).alias("whole"))
     runs = whole.groupBy("head", "tail", "replicate").agg(F.count_if("whole").alias("paths"))
     return runs.groupBy("head", "tail").agg((F.count_if(F.col("paths") >= min_paths) / F.lit(float(repeats))).alias("survival"))
 
@@ -45,26 +42,28 @@ def link_addition_survival(path_counts: DataFrame, plausible: DataFrame, probabi
     return runs.groupBy("head", "tail").agg((F.count_if(~F.col("closed") & (F.col("paths") >= min_paths)) / F.lit(float(repeats))).alias("survival"))
 
 
-def cluster_edges(pairs: DataFrame, membership: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(community, a, b, inside[, papers]): the edges in or at each community of (node, community)."""
+def cluster_edges(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """(community, a, b, inside): the edges in or at each community of (node, community)."""
     m = membership.toDF("node", "community")
     x = pairs.join(m.toDF("a", "ca"), "a", "left").join(m.toDF("b", "cb"), "b", "left")
-    x = x.select("a", "b", F.explode(F.array_distinct(F.filter(F.array("ca", "cb"), lambda c: c.isNotNull()))).alias("community"), F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("inside"))
-    return x if sources is None else x.join(sources, ["a", "b"], "left")
+    return x.select("a", "b", F.explode(F.array_distinct(F.filter(F.array("ca", "cb"), lambda c: c.isNotNull()))).alias("community"), F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("inside"))
 
 
-def cluster_survival(edges: DataFrame, mode: str, keep: float = 0.95, repeats: int = 50, seed: int = 42, isolation: float = 0.9) -> DataFrame:
+def cluster_survival(edges: DataFrame, mode: str, keep: float = 0.95, repeats: int = 50, seed: int = 42, isolation: float = 0.9, sources: DataFrame | None = None) -> DataFrame:
     """(community, survival): share of replicates in which the cluster stays isolated (I16).
 
     edges: cluster_edges.  mode 'edge' keeps edges one by one; mode 'paper' keeps
-    papers, and an edge while one of its papers is kept.
+    papers, and an edge while one of its papers is kept; sources are then the
+    edges' papers as of paths.edge_papers.
     """
-    x = replicates(edges, repeats)
+    name = F.col("community").cast("string")
     if mode == "edge":
-        kept = _kept(seed, mode, F.concat_ws("|", F.col("community").cast("string"), F.concat_ws("~", "a", "b")), keep)
+        x = replicates(edges, repeats).withColumn("kept", _kept(seed, mode, F.concat_ws("|", name, F.concat_ws("~", "a", "b")), keep))
     else:
-        kept = F.exists(F.coalesce("papers", F.array().cast("array<string>")), lambda p: _kept(seed, mode, F.concat_ws("|", F.col("community").cast("string"), p), keep))
-    runs = x.groupBy("community", "replicate").agg(F.count_if(kept & F.col("inside")).alias("internal"), F.count_if(kept & ~F.col("inside")).alias("cut"))
+        x = replicates(edges.join(sources, ["a", "b"], "left"), repeats)
+        kept = F.coalesce(_kept(seed, mode, F.concat_ws("|", name, "paper"), keep) & F.col("paper").isNotNull(), F.lit(False))
+        x = x.groupBy("community", "a", "b", "inside", "replicate").agg(F.bool_or(kept).alias("kept"))
+    runs = x.groupBy("community", "replicate").agg(F.count_if(F.col("kept") & F.col("inside")).alias("internal"), F.count_if(F.col("kept") & ~F.col("inside")).alias("cut"))
     stays = 1 - F.col("cut") / F.greatest(F.col("internal") + F.col("cut"), F.lit(1)) >= isolation
     return runs.groupBy("community").agg((F.count_if(stays) / F.lit(float(repeats))).alias("survival"))
 

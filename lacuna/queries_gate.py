@@ -10,7 +10,7 @@ from lacuna.functions.text import specificity
 from lacuna.operators import candidates, detect, evaluation, gate, graph, paths, score, stability
 from lacuna.plans.runtime import Scratch, table
 from lacuna.queries_corpus import token_sql
-from lacuna.queries_graph import SNAPSHOT, community_membership, edges, sql
+from lacuna.queries_graph import GREEDY_SQL, SNAPSHOT, community_membership, edges, sql
 
 SETTINGS = gate.Settings(snapshot_date=SNAPSHOT)
 _U = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0)"
@@ -121,15 +121,37 @@ def paper_dropout_stability_gate(spark: SparkSession, d: str) -> DataFrame:
     return _decay_stability(spark, d, "paper", SETTINGS.paper_keep, SETTINGS.repeats)
 
 
-@query()
+_LINK_SURVIVAL = ",\n" + """reps AS (SELECT unnest(range(1, 51)) AS r),
+it AS (SELECT head, tail, path_no, unnest(items) AS x FROM ind),
+run AS (SELECT head, tail, path_no, r, bool_and({U_EDGE} <= 0.95) FILTER (WHERE starts_with(x, 'edge~')) AS e_ok, bool_and({U_PAPER} <= 0.95) FILTER (WHERE starts_with(x, 'paper~')) AS p_ok FROM it CROSS JOIN reps GROUP BY 1, 2, 3, 4),
+ok AS (SELECT head, tail, r, count(*) FILTER (WHERE e_ok) AS ne, count(*) FILTER (WHERE p_ok) AS np FROM run GROUP BY 1, 2, 3),
+pool AS (SELECT DISTINCT head, tail, edge_seq AS item FROM links JOIN (SELECT unnest([u, v]) AS node, edge_seq, lower(coalesce(evidence, '')) AS ev FROM e) ON node = head WHERE contains(ev, tail)),
+npaths AS (SELECT head, tail, count(*) AS n FROM ind GROUP BY 1, 2),
+hit AS (SELECT n.head, n.tail, r, n, coalesce(bool_or({U_ADD} <= 0.5), false) AS closed FROM npaths n CROSS JOIN reps LEFT JOIN pool p ON p.head = n.head AND p.tail = n.tail GROUP BY 1, 2, 3, 4),
+sa AS (SELECT head, tail, count(*) FILTER (WHERE NOT closed AND n >= 1) / 50.0 AS s_add FROM hit GROUP BY 1, 2),
+se AS (SELECT head, tail, count(*) FILTER (WHERE ne >= 1) / 50.0 AS s_edge, count(*) FILTER (WHERE np >= 1) / 50.0 AS s_paper FROM ok GROUP BY 1, 2)""".replace("{U_EDGE}", _U.format("'42|edge|' || r || '|' || head || '|' || tail || '|' || substr(x, 6)")).replace("{U_PAPER}", _U.format("'42|paper|' || r || '|' || head || '|' || tail || '|' || substr(x, 7)")).replace("{U_ADD}", _U.format("'42|add|' || r || '|' || n.head || '|' || n.tail || '|' || p.item"))
+
+
+@query(sql("SELECT head, tail, s_edge::DOUBLE AS edge_deletion, s_paper::DOUBLE AS paper_dropout, s_add::DOUBLE AS plausible_edge_addition, least(s_edge, s_paper, s_add)::DOUBLE AS aggregate FROM se JOIN sa USING (head, tail)", GREEDY_SQL + _LINK_SURVIVAL).replace("WITH e0", "WITH RECURSIVE e0"))
 def link_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Survival of the top link candidates by mode."""
+    """Survival of the top link candidates by mode, on evidence paths of up to three edges; link_stability_all goes to four."""
+    return _link_stability(spark, d, 3)
+
+
+@query()
+def link_stability_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same on evidence paths of up to four edges, as the gate has it."""
+    return _link_stability(spark, d, 4)
+
+
+def _link_stability(spark: SparkSession, d: str, cutoff: int) -> DataFrame:
     scratch = Scratch(spark, "links")
     e = scratch.save(edges(spark, d), "edges")
     links = scratch.save(detect.common_neighbor_links(graph.simple(e)), "links")
-    p = scratch.save(paths.independent_paths(e, links, 4), "paths")
-    a = stability.link_survival(p, "edges", "edge").withColumnRenamed("survival", "edge_deletion")
-    b = stability.link_survival(p, "papers", "paper").withColumnRenamed("survival", "paper_dropout")
+    sources = scratch.save(paths.edge_papers(e), "sources")
+    p = scratch.save(paths.independent_paths(e, links, cutoff, sources), "paths")
+    a = stability.link_survival(paths.path_edges(p), "edge").withColumnRenamed("survival", "edge_deletion")
+    b = stability.link_survival(paths.path_papers(p, sources), "paper").withColumnRenamed("survival", "paper_dropout")
     n = p.groupBy("head", "tail").agg(F.count("*").alias("paths"))
     c = stability.link_addition_survival(n, candidates.plausible_direct(e, links)).withColumnRenamed("survival", "plausible_edge_addition")
     return a.join(b, ["head", "tail"]).join(c, ["head", "tail"]).withColumn("aggregate", F.least("edge_deletion", "paper_dropout", "plausible_edge_addition"))

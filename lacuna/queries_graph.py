@@ -64,7 +64,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(_decay))
 def temporal_decay(spark: SparkSession, d: str) -> DataFrame:
-    x = detect.temporal_decay(edges(spark, d), snapshot_date=SNAPSHOT)
+    x = detect.by_decay(detect.temporal_decay(edges(spark, d), snapshot_date=SNAPSHOT))
     return x.withColumns({"decay_rate": F.round("decay_rate", 6), "recent_activity": F.round("recent_activity", 9), "earlier_activity": F.round("earlier_activity", 9)})
 
 
@@ -209,10 +209,45 @@ def evidence_paths_all(spark: SparkSession, d: str) -> DataFrame:
     return paths.simple_paths(graph.simple(e), c).select("head", "tail", F.array_join("nodes", " > ").alias("path"), (F.size("nodes") - 1).cast("bigint").alias("hops"))
 
 
-@query()
+#: All paths of two and three edges of the candidates' ends whose every edge has a paper; the greedy choice walks them one by one in the order of rank.
+GREEDY_SQL = """,
+src AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b, source_paper AS paper FROM e WHERE source_paper IS NOT NULL),
+walks AS (
+  SELECT l.head, l.tail, [l.head, x.other, l.tail] AS nodes FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = x.other AND y.other = l.tail
+  UNION ALL
+  SELECT l.head, l.tail, [l.head, x.other, z.other, l.tail] FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = l.tail
+    JOIN adj z ON z.node = x.other AND z.other = y.other WHERE x.other <> l.tail AND y.other <> l.head),
+hop AS (SELECT head, tail, nodes, unnest(range(1, len(nodes))) AS i FROM walks),
+item AS (SELECT head, tail, nodes, i, least(nodes[i], nodes[i + 1]) AS a, greatest(nodes[i], nodes[i + 1]) AS b, paper FROM hop LEFT JOIN src ON src.a = least(nodes[i], nodes[i + 1]) AND src.b = greatest(nodes[i], nodes[i + 1])),
+tr AS (SELECT head, tail, nodes, list(DISTINCT 'edge~' || a || '~' || b) || list(DISTINCT 'paper~' || paper) FILTER (WHERE paper IS NOT NULL) AS items FROM item GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE paper IS NULL) = 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY head, tail ORDER BY len(nodes), nodes) AS r FROM tr),
+chosen AS (
+  SELECT head, tail, 0::BIGINT AS r, []::VARCHAR[] AS held, 0::BIGINT AS path_no, NULL::VARCHAR[] AS nodes FROM (SELECT DISTINCT head, tail FROM rk)
+  UNION ALL
+  SELECT c.head, c.tail, k.r, CASE WHEN list_has_any(c.held, k.items) THEN c.held ELSE c.held || k.items END, CASE WHEN list_has_any(c.held, k.items) THEN c.path_no ELSE c.path_no + 1 END, CASE WHEN list_has_any(c.held, k.items) THEN NULL ELSE k.nodes END
+  FROM chosen c JOIN rk k ON k.head = c.head AND k.tail = c.tail AND k.r = c.r + 1),
+ind AS (SELECT c.head, c.tail, path_no::INTEGER AS path_no, c.nodes, items FROM chosen c JOIN rk ON rk.head = c.head AND rk.tail = c.tail AND rk.r = c.r WHERE c.nodes IS NOT NULL)"""
+
+
+@query(sql("SELECT head, tail, path_no, array_to_string(nodes, ' > ') AS path, len(list_filter(items, lambda x: starts_with(x, 'paper~')))::BIGINT AS papers FROM ind", GREEDY_SQL).replace("WITH e0", "WITH RECURSIVE e0"))
 def independent_paths(spark: SparkSession, d: str) -> DataFrame:
-    e, c = _candidates(spark, d, Scratch(spark, "paths"))
-    return paths.independent_paths(e, c, 4).select("head", "tail", "path_no", F.array_join("nodes", " > ").alias("path"), F.size("papers").alias("papers"))
+    """Independent evidence paths of up to three edges between the ends of the top candidates; independent_paths_all goes to four."""
+    return _independent(spark, d, 3)
+
+
+@query()
+def independent_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """Independent evidence paths of up to four edges."""
+    return _independent(spark, d, 4)
+
+
+def _independent(spark: SparkSession, d: str, cutoff: int) -> DataFrame:
+    scratch = Scratch(spark, "paths")
+    e, c = _candidates(spark, d, scratch)
+    sources = scratch.save(paths.edge_papers(e), "sources")
+    p = scratch.save(paths.independent_paths(e, c, cutoff, sources), "independent")
+    n = paths.path_papers(p, sources).groupBy("head", "tail", "path_no").agg(F.count("*").alias("papers"))
+    return p.join(n, ["head", "tail", "path_no"]).select("head", "tail", "path_no", F.array_join("nodes", " > ").alias("path"), "papers")
 
 
 _RECORDS = ",\n" + """hop AS (SELECT DISTINCT head || ' | ' || tail AS candidate, unnest([(least(nodes[1], nodes[2]), greatest(nodes[1], nodes[2])), (least(nodes[2], nodes[3]), greatest(nodes[2], nodes[3]))]) AS h
@@ -232,8 +267,8 @@ def _provenance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT candidate, paper_id, title, paper_year, venue, evidence_records FROM res", _RECORDS))
 def gap_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Papers and evidence on the two-hop paths behind the top link candidates; gap_provenance_all has the whole."""
-    return _provenance(spark, d)
+    """Papers and evidence on the two-hop paths behind the top link candidates, newest first; gap_provenance_all has the whole."""
+    return provenance.listed(_provenance(spark, d))
 
 
 @query(sql("SELECT paper_id, count(DISTINCT candidate) AS candidates, 'missing_link' AS families FROM res GROUP BY paper_id", _RECORDS))
@@ -241,7 +276,7 @@ def source_paper_inversion(spark: SparkSession, d: str) -> DataFrame:
     """The candidates that each paper of gap_provenance supports; source_paper_inversion_all has all families."""
     r = _provenance(spark, d)
     fam = r.select("candidate", F.lit("missing_link").alias("family")).distinct()
-    return provenance.inversion(r, fam).withColumn("families", F.array_join("families", ","))
+    return provenance.by_support(provenance.inversion(r, fam), table(spark, d, "papers")).withColumn("families", F.array_join("families", ","))
 
 
 def _provenance_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +286,7 @@ def _provenance_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pairs, member = community_membership(spark, d)
     links = scratch.save(detect.common_neighbor_links(pairs), "links")
     c = scratch.save(candidates.table(links, detect.orphan_clusters(pairs, member), member, detect.temporal_decay(e, snapshot_date=SNAPSHOT)), "candidates")
-    few = paths.shortest_paths(pairs, links, 4, 3).select(F.concat_ws(" | ", F.lit("missing_link"), "head", "tail").alias("candidate"), "nodes")
+    few = paths.evidence(e, links, 4, 3).select(F.concat_ws(" | ", F.lit("missing_link"), "head", "tail").alias("candidate"), "nodes")
     r = provenance.path_records(e, few)
     r = r.unionByName(provenance.cluster_records(e, c.where("family = 'orphan_cluster'").select("candidate", F.explode("members").alias("node"))))
     r = r.unionByName(provenance.concept_records(e, c.where("family = 'temporal_decay'").select("candidate", "concept")))
@@ -260,15 +295,15 @@ def _provenance_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def gap_provenance_all(spark: SparkSession, d: str) -> DataFrame:
-    """Papers and evidence behind the candidates of all families: on up to three shortest paths of at most four edges, inside clusters, at concepts."""
-    return _provenance_all(spark, d)[1]
+    """Papers and evidence behind the candidates of all families: on up to three independent evidence paths of at most four edges (where there is none, the shortest paths), inside clusters, at concepts; newest papers first."""
+    return provenance.listed(_provenance_all(spark, d)[1])
 
 
 @query()
 def source_paper_inversion_all(spark: SparkSession, d: str) -> DataFrame:
     """The candidates of all families that each paper supports."""
     c, r = _provenance_all(spark, d)
-    return provenance.inversion(r, c.select("candidate", "family")).withColumn("families", F.array_join("families", ","))
+    return provenance.by_support(provenance.inversion(r, c.select("candidate", "family")), table(spark, d, "papers")).withColumn("families", F.array_join("families", ","))
 
 
 @query()

@@ -83,10 +83,10 @@ def test_dropout_extremes_and_order(spark):
     from lacuna.operators import paths
 
     p = paths.independent_paths(e, link(spark))
-    one = lambda keep, **k: stability.link_survival(p, "edges", "edge", keep, **k).first()["survival"]
+    one = lambda keep, **k: stability.link_survival(paths.path_edges(p), "edge", keep, **k).first()["survival"]
     assert one(1.0) == 1.0 and one(-1.0) == 0.0 and 0 < one(0.5) < 1 and one(0.5) == one(0.5)
     assert one(0.5, min_paths=2) <= one(0.5)
-    assert stability.link_survival(p, "papers", "paper", 1.0).first()["survival"] == 1.0
+    assert stability.link_survival(paths.path_papers(p, paths.edge_papers(e)), "paper", 1.0).first()["survival"] == 1.0
 
 
 def test_cluster_stability(spark):
@@ -96,9 +96,9 @@ def test_cluster_stability(spark):
     from lacuna.operators import graph, paths
 
     m = spark.createDataFrame([(n, "k") for n in names], "node string, community string")
-    at = stability.cluster_edges(graph.simple(e), m, paths.edge_papers(e))
+    at = stability.cluster_edges(graph.simple(e), m)
     assert at.where("inside").count() == 10 and at.where("not inside").count() == 1
-    assert stability.cluster_survival(at, "edge", 1.0).first()["survival"] == 1.0 and stability.cluster_survival(at, "paper", -1.0).first()["survival"] == 1.0
+    assert stability.cluster_survival(at, "edge", 1.0).first()["survival"] == 1.0 and stability.cluster_survival(at, "paper", -1.0, sources=paths.edge_papers(e)).first()["survival"] == 1.0
     extra = spark.createDataFrame([("k", i) for i in range(6)], "community string, item bigint")
     assert stability.cluster_addition_survival(at, extra).first()["survival"] < 0.5
     assert stability.cluster_addition_survival(at, extra.limit(0)).first()["survival"] == 1.0

@@ -144,8 +144,42 @@ def test_simple_paths_match_brute_force(spark, cutoff):
 
 def test_independent_paths_share_neither_edge_nor_paper(spark):
     rows = [("A", "m1", "p1", 2022), ("m1", "B", "p3", 2022), ("A", "m2", "p2", 2024), ("m2", "B", "p4", 2024), ("A", "m3", "p1", 2024), ("m3", "B", "p9", 2024), ("A", "m4", None, 2024), ("m4", "B", "p10", 2024)]
-    got = paths.independent_paths(decay_edges(spark, rows), spark.createDataFrame([("A", "B")], "head string, tail string")).collect()
-    assert [(r["path_no"], r["nodes"], r["papers"]) for r in sorted(got, key=lambda r: r["path_no"])] == [(1, ["A", "m1", "B"], ["p1", "p3"]), (2, ["A", "m2", "B"], ["p2", "p4"])]
+    e = decay_edges(spark, rows)
+    got = paths.independent_paths(e, spark.createDataFrame([("A", "B")], "head string, tail string"))
+    assert [(r["path_no"], r["nodes"]) for r in sorted(got.collect(), key=lambda r: r["path_no"])] == [(1, ["A", "m1", "B"]), (2, ["A", "m2", "B"])]
+    assert sorted((r["path_no"], r["item"]) for r in paths.path_papers(got, paths.edge_papers(e)).collect()) == [(1, "p1"), (1, "p3"), (2, "p2"), (2, "p4")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_independent_paths_are_those_of_the_greedy_order(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02}" for i in range(11)]
+    rows = [(*rng.sample(names, 2), rng.choice([None, *[f"p{i}" for i in range(14)]]), 2022) for _ in range(60)]
+    e = decay_edges(spark, rows)
+    ends = [tuple(rng.sample(names, 2)) for _ in range(4)]
+    sources = {}
+    for u, v, p, _ in rows:
+        if p:
+            sources.setdefault(tuple(sorted((u, v))), set()).add(p)
+    want = {}
+    for h, t in set(ends):
+        held = set()
+        for nodes in sorted(all_paths({tuple(sorted(r[:2])) for r in rows}, h, t, 4), key=lambda p: (len(p), p)):
+            hops = [tuple(sorted(x)) for x in zip(nodes, nodes[1:])]
+            items = set(hops).union(*(sources.get(x, ()) for x in hops))
+            if all(x in sources for x in hops) and not items & held:
+                held |= items
+                want.setdefault((h, t), []).append(list(nodes))
+    got = {}
+    for r in sorted(paths.independent_paths(e, spark.createDataFrame(ends, "head string, tail string")).collect(), key=lambda r: r["path_no"]):
+        got.setdefault((r["head"], r["tail"]), []).append(r["nodes"])
+    assert want and got == want
+
+
+def test_evidence_falls_back_on_shortest_paths(spark):
+    e = decay_edges(spark, [("A", "m", "p1", 2022), ("m", "B", "p2", 2022), ("C", "k", None, 2022), ("k", "D", "p3", 2022), ("C", "j", None, 2022), ("j", "D", None, 2022)])
+    got = paths.evidence(e, spark.createDataFrame([("A", "B"), ("C", "D")], "head string, tail string"))
+    assert sorted((r["head"], r["path_no"], r["nodes"][1]) for r in got.collect()) == [("A", 1, "m"), ("C", 1, "j"), ("C", 2, "k")]
 
 
 def test_greedy_merge_is_not_transitive(spark):
