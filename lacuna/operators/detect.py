@@ -277,8 +277,3 @@ def temporal_profiles(edges: DataFrame, snapshot_date: str | None = None) -> Dat
     x = spine.join(act, ["node", "year"], "left").join(F.broadcast(papers_per_year(edges)), "year", "left")  # one row a year
     papers = F.coalesce("papers", F.lit(0))
     return x.select("node", "year", papers.alias("papers"), (papers / F.greatest(F.coalesce("publications", F.lit(0)), F.lit(1))).alias("rate"))
-
-
-def ranked(df: DataFrame, *order) -> DataFrame:
-    """df with a 1-based rank by a total order; for results of bounded size, such as reports."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.draws import uniform
 from lacuna.functions.text import words
+from lacuna.plans.runtime import ranked
 
 DECISIONS = ("Accept", "Modify", "Reject", "Pending")
 CONTRACTS = ("provenance_only", "specificity_only", "path_diversity_only", "perturbation_only", "hard_contract_without_perturbation", "full_without_coverage_screen", "full_evidence_contract")
@@ -87,9 +88,9 @@ def carry_reviews(candidates: DataFrame, prior: DataFrame, key: str) -> DataFram
 
 
 def queue_positions(decisions: DataFrame, order: tuple[str, ...] = ("automatically_eligible", "review_required", "rejected"), tie: str = "seq") -> DataFrame:
-    """decisions with a position over the ordered categories (E10); for review queues."""
+    """decisions with a position over the ordered categories."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("status"))
-    return decisions.withColumn("position", F.row_number().over(Window.orderBy(rank, tie)))
+    return ranked(decisions, rank, F.col(tie), name="position")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], size: int, key: str, seed: int = 42) -> DataFrame:

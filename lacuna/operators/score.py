@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.plans.runtime import ranked
+
 WEIGHTS = {"centrality": 0.15, "cluster_isolation": 0.25, "temporal_decay": 0.25, "prediction_confidence": 0.25, "validation": 0.35}
 
 
@@ -42,13 +44,14 @@ def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
 def rank_candidates(df: DataFrame, top_k: int | None = None, weights: dict[str, float] = WEIGHTS, tie: str = "seq") -> DataFrame:
     """df with raw_composite_score, composite_score (scaled) and rank; ties by ``tie``.
 
-    With top_k only those rows are ranked, and Spark keeps top_k rows a task.
+    With top_k only those rows are ranked, and Spark keeps top_k rows a task;
+    without it the ranks come from a global sort.
     """
     x = min_max(metric_columns(df).withColumn("raw_composite_score", composite(weights)), "raw_composite_score", "composite_score")
     order = (F.desc("raw_composite_score"), F.col(tie))
-    if top_k is not None:
-        x = x.orderBy(*order).limit(top_k)
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if top_k is None:
+        return ranked(x, *order)
+    return x.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top_k rows
 
 
 def ablation(candidates: DataFrame) -> DataFrame:

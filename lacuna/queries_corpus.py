@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.catalog import query
 from lacuna.functions.draws import uniform
 from lacuna.functions.ids import id_form
-from lacuna.functions.text import chunk_words, strict_year, tokens, word_count
+from lacuna.functions.text import STOPWORDS, chunk_words, strict_year, tokens, word_count
 from lacuna.operators import corpus, evaluation, orphans, retrieval
 from lacuna.plans.runtime import Scratch, table
 
@@ -156,13 +156,14 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(chunk_words(F.col("text"), 100, 20)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
-_TOK = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: x NOT IN ('a','an','and','as','at','by','for','from','in','into','of','on','or','the','to','using','via','with'))"
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
+_TOK = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: x NOT IN {stop})".replace("{stop}", _STOP)
 
 
 def token_sql(column: str) -> str:
     """Distinct tokens of a column (tokens()) in DuckDB."""
     t = _TOK.format(c=column)
-    return f"list_distinct(list_concat({t}, list_filter(list_transform({t}, lambda x: regexp_replace(x, '[0-9]+$', '')), lambda x: x <> '' AND x NOT IN ('a','an','and','as','at','by','for','from','in','into','of','on','or','the','to','using','via','with'))))"
+    return f"list_distinct(list_concat({t}, list_filter(list_transform({t}, lambda x: regexp_replace(x, '[0-9]+$', '')), lambda x: x <> '' AND x NOT IN {_STOP})))"
 
 
 @query(f"SELECT token, count(*) AS papers FROM (SELECT unnest({token_sql('title')}) AS token FROM papers WHERE title IS NOT NULL) GROUP BY token")
@@ -285,11 +286,11 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SIM = """WITH t AS (SELECT seq AS doc, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]{2,}')) AS term FROM papers WHERE title IS NOT NULL),
-f AS (SELECT doc, term, count(*) AS tf FROM t WHERE term NOT IN ('a','an','and','as','at','by','for','from','in','into','of','on','or','the','to','using','via','with') GROUP BY 1, 2),
+f AS (SELECT doc, term, count(*) AS tf FROM t WHERE term NOT IN {stop} GROUP BY 1, 2),
 v AS (SELECT term, ln((1 + (SELECT count(*) FROM papers WHERE title IS NOT NULL)) / (1 + count(*))) + 1 AS idf FROM f GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
 w AS (SELECT doc, f.term, tf * idf AS w FROM f JOIN v ON v.term = f.term), n AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM w),
 s AS (SELECT q.doc AS query, x.doc, round(sum(q.w * x.w), 6) AS similarity FROM n q JOIN n x ON x.term = q.term AND x.doc <> q.doc WHERE q.doc % 20 = 0 GROUP BY 1, 2)
-SELECT query, doc, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM s QUALIFY rank <= 3"""
+SELECT query, doc, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM s QUALIFY rank <= 3""".replace("{stop}", _STOP)
 
 
 @query(_SIM)

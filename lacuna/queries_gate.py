@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.catalog import query
-from lacuna.functions.text import specificity
+from lacuna.functions.text import GENERIC_PHRASES, specificity
 from lacuna.operators import candidates, detect, evaluation, gate, graph, paths, score, stability
 from lacuna.plans.runtime import Scratch, table
 from lacuna.queries_corpus import token_sql
@@ -15,7 +15,7 @@ from lacuna.queries_graph import GREEDY_SQL, SNAPSHOT, community_membership, edg
 SETTINGS = gate.Settings(snapshot_date=SNAPSHOT)
 _U = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0)"
 
-_GENERIC = "('algorithm','analysis','approach','concept','framework','method','model','our approach','our framework','our method','proposed approach','proposed framework','proposed method','research','system','technique','this paper','this work')"
+_GENERIC = "(" + ", ".join(f"'{g}'" for g in GENERIC_PHRASES) + ")"
 
 
 @query(
@@ -66,10 +66,20 @@ def closure_hits_all(spark: SparkSession, d: str) -> DataFrame:
     return _closure(spark, d, True, _docs(spark, d))
 
 
+@query(sql("SELECT candidate, doc, year, n FROM (SELECT candidate, c.doc, p.year, row_number() OVER (PARTITION BY candidate ORDER BY coalesce(p.year, 0) DESC, c.doc) AS place, count(*) OVER (PARTITION BY candidate) AS n FROM clo c JOIN (SELECT seq AS doc, year FROM papers) p ON p.doc = c.doc) WHERE place <= 10", _ENT.replace("GROUP BY ALL, k HAVING", "GROUP BY candidate, family, no, peak, doc, year, k HAVING")))
+def closure_hit_list(spark: SparkSession, d: str) -> DataFrame:
+    """The ten newest papers of those counted in closure_hits."""
+    return gate.listed_hits(_hits(spark, d, False, _docs(spark, d, normalise=False)), SETTINGS)
+
+
 def _closure(spark: SparkSession, d: str, clusters: bool, docs: DataFrame) -> DataFrame:
+    return _hits(spark, d, clusters, docs).groupBy("candidate").agg(F.count("*").alias("hits"))
+
+
+def _hits(spark: SparkSession, d: str, clusters: bool, docs: DataFrame) -> DataFrame:
     _, c = _detected(spark, d, Scratch(spark, "closure"), clusters)
     named = c.select("candidate", "family", F.posexplode(F.slice("entities", 1, 6)).alias("entity_no", "label"), "peak_year")
-    return gate.closure_hits(named, docs).groupBy("candidate").agg(F.count("*").alias("hits"))
+    return gate.closure_hits(named, docs)
 
 
 _INC = """, con AS (SELECT node AS concept FROM decay WHERE CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END >= 0.3),

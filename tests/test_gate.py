@@ -117,11 +117,17 @@ def test_decay_stability(spark):
 
 
 def test_plausible_edges_by_family(spark):
-    kinds = "family string, head string, tail string, concept string, members array<string>, e array<struct<head:string,tail:string>>"
+    c = spark.createDataFrame([("l", "missing_link", "a", "b", None, None), ("o", "orphan_cluster", None, None, None, ["a", "b"]), ("t", "temporal_decay", None, None, "c", None)], "candidate string, family string, head string, tail string, concept string, members array<string>")
     pool = [("a", "b"), ("b", "a"), ("a", "c"), (" ", "a"), ("a", "a"), (None, "b")]
-    df = spark.createDataFrame([("missing_link", "a", "b", None, None, pool), ("orphan_cluster", None, None, None, ["a", "b"], pool), ("temporal_decay", None, None, "c", None, pool), ("missing_link", "a", "b", None, None, None)], kinds)
-    got = df.select(F.size(gate.relevant_plausible(*[F.col(c) for c in ("family", "head", "tail", "concept", "members", "e")]))).collect()
-    assert [r[0] for r in got] == [2, 1, 1, 0]
+    p = spark.createDataFrame([(k, str(i), h, t, None, None) for k in "lot" for i, (h, t) in enumerate(pool)], "candidate string, item string, head string, tail string, paper string, year int")
+    got = sorted((r["candidate"], r["item"]) for r in candidates.relevant_plausible(c, p).collect())
+    assert got == [("l", "0"), ("l", "1"), ("o", "2"), ("t", "2")]
+
+
+def test_listed_hits_are_the_newest(spark):
+    hits = spark.createDataFrame([("c", f"d{i:02}", 2000 + i if i else None) for i in range(13)] + [("e", "x", None)], "candidate string, doc string, year int")
+    got = gate.listed_hits(hits).collect()
+    assert sorted(r["doc"] for r in got if r["candidate"] == "c") == [f"d{i:02}" for i in range(3, 13)] and {(r["candidate"], r["n"]) for r in got} == {("c", 13), ("e", 1)}
 
 
 def test_scores(spark):
