@@ -133,33 +133,23 @@ def paper_dropout_stability_gate(spark: SparkSession, d: str) -> DataFrame:
 
 _LINK_SURVIVAL = ",\n" + """reps AS (SELECT unnest(range(1, 51)) AS r),
 it AS (SELECT head, tail, path_no, unnest(items) AS x FROM ind),
-run AS (SELECT head, tail, path_no, r, bool_and({U_EDGE} <= 0.95) FILTER (WHERE starts_with(x, 'edge~')) AS e_ok, bool_and({U_PAPER} <= 0.95) FILTER (WHERE starts_with(x, 'paper~')) AS p_ok FROM it CROSS JOIN reps GROUP BY 1, 2, 3, 4),
-ok AS (SELECT head, tail, r, count(*) FILTER (WHERE e_ok) AS ne, count(*) FILTER (WHERE p_ok) AS np FROM run GROUP BY 1, 2, 3),
+keeps AS (SELECT head, tail, path_no, r, bool_and({U_EDGE} <= 0.95) FILTER (WHERE starts_with(x, 'edge~')) AS e_ok, bool_and({U_PAPER} <= 0.95) FILTER (WHERE starts_with(x, 'paper~')) AS p_ok FROM it CROSS JOIN reps GROUP BY 1, 2, 3, 4),
+held AS (SELECT head, tail, r, count(*) FILTER (WHERE e_ok) AS ne, count(*) FILTER (WHERE p_ok) AS np FROM keeps GROUP BY 1, 2, 3),
 pool AS (SELECT DISTINCT head, tail, edge_seq AS item FROM links JOIN (SELECT unnest([u, v]) AS node, edge_seq, lower(coalesce(evidence, '')) AS ev FROM e) ON node = head WHERE contains(ev, tail)),
 npaths AS (SELECT head, tail, count(*) AS n FROM ind GROUP BY 1, 2),
-hit AS (SELECT n.head, n.tail, r, n, coalesce(bool_or({U_ADD} <= 0.5), false) AS closed FROM npaths n CROSS JOIN reps LEFT JOIN pool p ON p.head = n.head AND p.tail = n.tail GROUP BY 1, 2, 3, 4),
-sa AS (SELECT head, tail, count(*) FILTER (WHERE NOT closed AND n >= 1) / 50.0 AS s_add FROM hit GROUP BY 1, 2),
-se AS (SELECT head, tail, count(*) FILTER (WHERE ne >= 1) / 50.0 AS s_edge, count(*) FILTER (WHERE np >= 1) / 50.0 AS s_paper FROM ok GROUP BY 1, 2)""".replace("{U_EDGE}", _U.format("'42|edge|' || r || '|' || head || '|' || tail || '|' || substr(x, 6)")).replace("{U_PAPER}", _U.format("'42|paper|' || r || '|' || head || '|' || tail || '|' || substr(x, 7)")).replace("{U_ADD}", _U.format("'42|add|' || r || '|' || n.head || '|' || n.tail || '|' || p.item"))
+closing AS (SELECT n.head, n.tail, r, n, coalesce(bool_or({U_ADD} <= 0.5), false) AS closed FROM npaths n CROSS JOIN reps LEFT JOIN pool p ON p.head = n.head AND p.tail = n.tail GROUP BY 1, 2, 3, 4),
+sa AS (SELECT head, tail, count(*) FILTER (WHERE NOT closed AND n >= 1) / 50.0 AS s_add FROM closing GROUP BY 1, 2),
+se AS (SELECT head, tail, count(*) FILTER (WHERE ne >= 1) / 50.0 AS s_edge, count(*) FILTER (WHERE np >= 1) / 50.0 AS s_paper FROM held GROUP BY 1, 2)""".replace("{U_EDGE}", _U.format("'42|edge|' || r || '|' || head || '|' || tail || '|' || substr(x, 6)")).replace("{U_PAPER}", _U.format("'42|paper|' || r || '|' || head || '|' || tail || '|' || substr(x, 7)")).replace("{U_ADD}", _U.format("'42|add|' || r || '|' || n.head || '|' || n.tail || '|' || p.item"))
 
 
 @query(sql("SELECT head, tail, s_edge::DOUBLE AS edge_deletion, s_paper::DOUBLE AS paper_dropout, s_add::DOUBLE AS plausible_edge_addition, least(s_edge, s_paper, s_add)::DOUBLE AS aggregate FROM se JOIN sa USING (head, tail)", GREEDY_SQL + _LINK_SURVIVAL).replace("WITH e0", "WITH RECURSIVE e0"))
 def link_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Survival of the top link candidates by mode, on evidence paths of up to three edges; link_stability_all goes to four."""
-    return _link_stability(spark, d, 3)
-
-
-@query()
-def link_stability_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same on evidence paths of up to four edges, as the gate has it."""
-    return _link_stability(spark, d, 4)
-
-
-def _link_stability(spark: SparkSession, d: str, cutoff: int) -> DataFrame:
+    """Survival of the top link candidates by mode."""
     scratch = Scratch(spark, "links")
     e = scratch.save(edges(spark, d), "edges")
     links = scratch.save(detect.common_neighbor_links(graph.simple(e)), "links")
     sources = scratch.save(paths.edge_papers(e), "sources")
-    p = scratch.save(paths.independent_paths(e, links, cutoff, sources), "paths")
+    p = scratch.save(paths.independent_paths(e, links, 4, sources), "paths")
     a = stability.link_survival(paths.path_edges(p), "edge").withColumnRenamed("survival", "edge_deletion")
     b = stability.link_survival(paths.path_papers(p, sources), "paper").withColumnRenamed("survival", "paper_dropout")
     n = p.groupBy("head", "tail").agg(F.count("*").alias("paths"))
@@ -167,30 +157,98 @@ def _link_stability(spark: SparkSession, d: str, cutoff: int) -> DataFrame:
     return a.join(b, ["head", "tail"]).join(c, ["head", "tail"]).withColumn("aggregate", F.least("edge_deletion", "paper_dropout", "plausible_edge_addition"))
 
 
-def _decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _decisions(spark: SparkSession, d: str, clusters: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(edges, decisions); without clusters texts are compared as stored, as SQL can do it."""
     scratch = Scratch(spark, "gate")
-    e, c = _detected(spark, d, scratch)
-    return e, scratch.save(gate.decide(candidates.facts(e, c, _docs(spark, d), SETTINGS, searched=True), SETTINGS), "decisions")
+    e, c = _detected(spark, d, scratch, clusters)
+    return e, scratch.save(gate.decide(candidates.facts(e, c, _docs(spark, d, clusters), SETTINGS, searched=True), SETTINGS), "decisions")
 
 
-@query()
+def _shown(x: DataFrame) -> DataFrame:
+    return x.select("candidate", "family", "status", F.round("ranking_score", 8).alias("ranking_score"), F.array_join("reasons", ",").alias("reasons"), F.col("papers").cast("bigint").alias("papers"), F.col("paths").cast("bigint").alias("paths"), F.round("stability", 8).alias("stability"), F.round("specificity", 8).alias("specificity"), "closure_hits")
+
+
+def _ranked(e: DataFrame, x: DataFrame) -> DataFrame:
+    x = x.where("status != 'rejected'")
+    x = x.join(candidates.mean_centrality(x, graph.degree_centrality(e)), "candidate", "left")
+    return score.rank_candidates(x, 30, tie="candidate").select("rank", "candidate", "family", F.round("raw_composite_score", 8).alias("raw_composite_score"), F.round("composite_score", 8).alias("composite_score"))
+
+
+def _dropout_sql(name: str, keep: str) -> str:
+    """Survival of declines against papers per year of the corpus, up to the end year."""
+    return f"""kept_{name} AS (SELECT * FROM rep WHERE {keep}),
+y_{name} AS (SELECT concept, r, k.year, count(DISTINCT paper) / greatest(coalesce(max(publications), 0), 1) AS rate FROM kept_{name} k LEFT JOIN dpubs p ON p.year = k.year WHERE k.year IS NOT NULL GROUP BY 1, 2, 3),
+l_{name} AS (SELECT concept, r, least(max(year), (SELECT y FROM final_year)) AS last, count(*) AS n FROM y_{name} GROUP BY 1, 2),
+g_{name} AS (SELECT y.concept, y.r, n, sum(CASE WHEN last - year BETWEEN 0 AND 1 THEN rate ELSE 0 END) AS recent, sum(CASE WHEN last - year BETWEEN 2 AND 3 THEN rate ELSE 0 END) AS earlier FROM y_{name} y JOIN l_{name} l ON l.concept = y.concept AND l.r = y.r GROUP BY 1, 2, 3),
+ok_{name} AS (SELECT concept, count(*) / 50.0 AS s FROM g_{name} WHERE n >= 2 AND least(greatest(CASE WHEN earlier > 0 THEN 1 - recent / earlier ELSE 0 END, 0), 1) >= 0.3 GROUP BY 1)"""
+
+
+_TYPED = "regexp_replace({0}, '(?: ?\\[ ?(?:method|dataset|metric|concept|finding|tool|unknown) ?\\] ?)+$', '')"
+
+#: The gate's facts and decisions for links and declines; SQL has no communities.
+_GATE = GREEDY_SQL + _LINK_SURVIVAL + _ENT.replace("GROUP BY ALL, k HAVING", "GROUP BY candidate, family, no, peak, doc, year, k HAVING") + _INC.replace("range(1, 21)", "range(1, 51)").split(",\nkept AS")[0] + ",\n" + f"""dpubs AS (SELECT year, count(*) AS publications FROM papers WHERE year IS NOT NULL AND concat_ws(' ', nullif(title, ''), nullif(abstract, '')) <> '' GROUP BY year),
+final_year AS (SELECT CASE WHEN max(year) = {SNAPSHOT[:4]} THEN max(year) - 1 ELSE max(year) END AS y FROM dpubs),
+{_dropout_sql("edge", _U.format("'42|edge|' || r || '|' || concept || '|' || edge_seq") + " <= 0.95")},
+{_dropout_sql("paper", "has_paper AND " + _U.format("'42|paper|' || r || '|' || concept || '|' || paper") + " <= 0.95")},
+hits AS (SELECT candidate, count(*) AS n FROM clo GROUP BY candidate),
+spec AS (SELECT candidate, avg(CASE WHEN label IN {_GENERIC} OR len(t) = 0 THEN 0 ELSE 0.75 * (1 - len(list_filter(t, lambda x: x IN {_GENERIC})) / len(t)) + 0.25 * least(len(t) / 3.0, 1) END) AS specificity FROM tk GROUP BY candidate),
+pp AS (SELECT head, tail, count(DISTINCT x) FILTER (WHERE starts_with(x, 'paper~')) AS papers FROM (SELECT head, tail, unnest(items) AS x FROM ind) GROUP BY 1, 2),
+fact AS (
+  SELECT 'missing_link | ' || l.head || ' | ' || l.tail AS candidate, 'missing_link' AS family, coalesce(pp.papers, 0) AS papers, coalesce(npaths.n, 0) AS paths, coalesce(s_edge, 0) AS s1, coalesce(s_paper, 0) AS s2, coalesce(s_add, 0) AS s3, true AS searched,
+    {_TYPED.format("l.head")} = {_TYPED.format("l.tail")} AS self_link
+  FROM links l LEFT JOIN pp USING (head, tail) LEFT JOIN npaths USING (head, tail) LEFT JOIN se USING (head, tail) LEFT JOIN sa USING (head, tail)
+  UNION ALL
+  SELECT 'temporal_decay | ' || con.concept, 'temporal_decay', coalesce(i.papers, 0), 0, coalesce(a.s, 0), coalesce(b.s, 0), NULL, false, false
+  FROM con LEFT JOIN (SELECT concept, count(DISTINCT paper) FILTER (WHERE has_paper) AS papers FROM inc GROUP BY 1) i ON i.concept = con.concept LEFT JOIN ok_edge a ON a.concept = con.concept LEFT JOIN ok_paper b ON b.concept = con.concept),
+met AS (SELECT f.candidate, family, papers, paths, least(s1, s2, coalesce(s3, s1)) AS stability, specificity, coalesce(h.n, 0) AS closure_hits, searched, self_link FROM fact f JOIN spec USING (candidate) LEFT JOIN hits h USING (candidate)),
+why AS (SELECT *, list_filter([
+    CASE WHEN self_link THEN 'canonical_self_link' END, CASE WHEN papers < 2 THEN 'insufficient_independent_paper_support' END, CASE WHEN specificity < 0.55 THEN 'generic_or_underspecified_entities' END,
+    CASE WHEN stability < 0.7 THEN 'unstable_under_multi_mode_perturbation' END, CASE WHEN family = 'missing_link' AND paths < 2 THEN 'insufficient_source_disjoint_evidence_paths' END,
+    CASE WHEN closure_hits > 0 THEN 'possible_prior_coverage_found_in_local_corpus' END, CASE WHEN NOT searched THEN 'plausible_edge_stress_unavailable' END], lambda x: x IS NOT NULL) AS reasons,
+  0.25 * least(papers / 2, 1) + 0.15 * specificity + 0.2 * CASE WHEN family = 'missing_link' THEN least(paths / 2, 1) ELSE 1 END + 0.3 * stability + CASE WHEN closure_hits = 0 THEN 0.1 ELSE 0 END AS ranking_score FROM met),
+dec AS (SELECT *, CASE WHEN len(list_filter(reasons, lambda x: x NOT IN ('possible_prior_coverage_found_in_local_corpus', 'plausible_edge_stress_unavailable'))) > 0 THEN 'rejected' WHEN len(reasons) > 0 THEN 'review_required' ELSE 'automatically_eligible' END AS status FROM why)"""
+_recursive = lambda body, more="": sql(body, _GATE + more).replace("WITH e0", "WITH RECURSIVE e0")
+
+
+@query(_recursive("SELECT candidate, family, status, round(ranking_score, 8) AS ranking_score, array_to_string(reasons, ',') AS reasons, papers, paths, round(stability, 8)::DOUBLE AS stability, round(specificity, 8) AS specificity, closure_hits FROM dec"))
 def gate_decisions(spark: SparkSession, d: str) -> DataFrame:
-    x = _decisions(spark, d)[1]
-    return x.select("candidate", "family", "status", "ranking_score", F.array_join("reasons", ",").alias("reasons"), "papers", "paths", "stability", "specificity", "closure_hits")
+    """The gate on links and declines; SQL has no communities, so gate_decisions_all has all families."""
+    return _shown(_decisions(spark, d, False)[1])
 
 
 @query()
+def gate_decisions_all(spark: SparkSession, d: str) -> DataFrame:
+    """The gate on candidates of all families, over texts in the form of labels."""
+    return _shown(_decisions(spark, d)[1])
+
+
+@query(_recursive("SELECT status, count(*) AS candidates FROM dec GROUP BY status"))
 def gate_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return gate.status_counts(_decisions(spark, d)[1])
+    """Links and declines by status; gate_status_counts_all has all families."""
+    return gate.status_counts(_decisions(spark, d, False)[1])
 
 
 @query()
+def gate_status_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    return gate.status_counts(_decisions(spark, d)[1])
+
+
+_RANKED = """, dgc AS (SELECT node, count(*) / (SELECT count(DISTINCT node) - 1 FROM ends) AS c FROM (SELECT unnest([u, v]) AS node FROM (SELECT DISTINCT u, v FROM e)) GROUP BY node),
+cen AS (SELECT candidate, avg(coalesce(c, 0)) AS c FROM ent LEFT JOIN dgc ON node = label GROUP BY candidate),
+pd AS (SELECT 'missing_link | ' || head || ' | ' || tail AS candidate, least(abs(prediction_score) / 10, 1) AS own FROM links UNION ALL SELECT 'temporal_decay | ' || node, 1 - recent / earlier FROM decay WHERE earlier > 0),
+sc AS (SELECT candidate, family, (0.15 * c + 0.25 * own + 0.35 * ranking_score) / 0.75 AS s FROM dec JOIN cen USING (candidate) JOIN pd USING (candidate) WHERE status <> 'rejected')"""
+
+
+@query(_recursive("SELECT row_number() OVER (ORDER BY s DESC, candidate)::INTEGER AS rank, candidate, family, round(s, 8) AS raw_composite_score, round((s - (SELECT min(s) FROM sc)) / CASE WHEN (SELECT max(s) > min(s) FROM sc) THEN (SELECT max(s) - min(s) FROM sc) ELSE 1 END, 8) AS composite_score FROM sc ORDER BY s DESC, candidate LIMIT 30", _RANKED))
 def composite_score_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 best links and declines that the gate did not reject; composite_score_rank_all has all families."""
+    return _ranked(*_decisions(spark, d, False))
+
+
+@query()
+def composite_score_rank_all(spark: SparkSession, d: str) -> DataFrame:
     """The 30 best candidates that the gate did not reject."""
-    e, x = _decisions(spark, d)
-    x = x.where("status != 'rejected'")
-    x = x.join(candidates.mean_centrality(x, graph.degree_centrality(e)), "candidate", "left")
-    return score.rank_candidates(x, 30, tie="candidate").select("rank", "candidate", "family", "raw_composite_score", "composite_score")
+    return _ranked(*_decisions(spark, d))
 
 
 _ALL = """, cand AS (SELECT 'missing_link | ' || head || ' | ' || tail AS candidate, 'missing_link' AS family, least(abs(prediction_score) / 10, 1) AS p, NULL::DOUBLE AS dk, unnest([head, tail]) AS node FROM links

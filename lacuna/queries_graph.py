@@ -138,7 +138,10 @@ def type_distribution(spark: SparkSession, d: str) -> DataFrame:
     return graph.endpoints(edges(spark, d)).groupBy(F.upper(F.coalesce("type", F.lit("UNKNOWN"))).alias("type")).agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes"))
 
 
-@query()
+@query(
+    sql("SELECT node, component FROM w", """,
+w(node, component) USING KEY (node) AS (SELECT node, node FROM deg UNION SELECT a.other, min(w.component) FROM w JOIN adj a ON a.node = w.node JOIN recurring.w AS r ON r.node = a.other WHERE w.component < r.component GROUP BY a.other)""").replace("WITH e0", "WITH RECURSIVE e0")
+)
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.weak_components(graph.simple(edges(spark, d)))
 
@@ -187,36 +190,30 @@ def _candidates(spark: SparkSession, d: str, scratch: Scratch) -> tuple[DataFram
     return e, scratch.save(detect.common_neighbor_links(graph.simple(e)), "links")
 
 
-_PATHS3 = """,
+#: All simple paths of two to four edges between the ends of the top candidates.
+_PATHS = """,
 walks AS (
   SELECT l.head, l.tail, [l.head, x.other, l.tail] AS nodes FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = x.other AND y.other = l.tail
   UNION ALL
   SELECT l.head, l.tail, [l.head, x.other, z.other, l.tail] FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = l.tail
-    JOIN adj z ON z.node = x.other AND z.other = y.other WHERE x.other <> l.tail AND y.other <> l.head)"""
+    JOIN adj z ON z.node = x.other AND z.other = y.other WHERE x.other <> l.tail AND y.other <> l.head
+  UNION ALL
+  SELECT p.head, p.tail, [p.head, p.a, p.m, q.b, p.tail] FROM (
+    SELECT l.head, l.tail, x.other AS a, y.other AS m FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = x.other WHERE x.other <> l.tail AND y.other NOT IN (l.head, l.tail)) p JOIN (
+    SELECT l.head, l.tail, x.other AS b, y.other AS m FROM links l JOIN adj x ON x.node = l.tail JOIN adj y ON y.node = x.other WHERE x.other <> l.head AND y.other NOT IN (l.head, l.tail)) q
+    ON q.head = p.head AND q.tail = p.tail AND q.m = p.m AND q.b <> p.a)"""
 
 
-@query(sql("SELECT head, tail, array_to_string(nodes, ' > ') AS path, len(nodes) - 1 AS hops FROM walks", _PATHS3))
+@query(sql("SELECT head, tail, array_to_string(nodes, ' > ') AS path, len(nodes) - 1 AS hops FROM walks", _PATHS))
 def evidence_paths(spark: SparkSession, d: str) -> DataFrame:
-    """All simple paths of up to three edges between the ends of the top candidates; evidence_paths_all goes to four."""
-    e, c = _candidates(spark, d, Scratch(spark, "paths"))
-    return paths.simple_paths(graph.simple(e), c, 3).select("head", "tail", F.array_join("nodes", " > ").alias("path"), (F.size("nodes") - 1).cast("bigint").alias("hops"))
-
-
-@query()
-def evidence_paths_all(spark: SparkSession, d: str) -> DataFrame:
     """All simple paths of up to four edges between the ends of the top candidates."""
     e, c = _candidates(spark, d, Scratch(spark, "paths"))
     return paths.simple_paths(graph.simple(e), c).select("head", "tail", F.array_join("nodes", " > ").alias("path"), (F.size("nodes") - 1).cast("bigint").alias("hops"))
 
 
-#: All paths of two and three edges of the candidates' ends whose every edge has a paper; the greedy choice walks them one by one in the order of rank.
-GREEDY_SQL = """,
+#: The paths whose every edge has a paper, walked one by one in the greedy order.
+GREEDY_SQL = _PATHS + """,
 src AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b, source_paper AS paper FROM e WHERE source_paper IS NOT NULL),
-walks AS (
-  SELECT l.head, l.tail, [l.head, x.other, l.tail] AS nodes FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = x.other AND y.other = l.tail
-  UNION ALL
-  SELECT l.head, l.tail, [l.head, x.other, z.other, l.tail] FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = l.tail
-    JOIN adj z ON z.node = x.other AND z.other = y.other WHERE x.other <> l.tail AND y.other <> l.head),
 hop AS (SELECT head, tail, nodes, unnest(range(1, len(nodes))) AS i FROM walks),
 item AS (SELECT head, tail, nodes, i, least(nodes[i], nodes[i + 1]) AS a, greatest(nodes[i], nodes[i + 1]) AS b, paper FROM hop LEFT JOIN src ON src.a = least(nodes[i], nodes[i + 1]) AND src.b = greatest(nodes[i], nodes[i + 1])),
 tr AS (SELECT head, tail, nodes, list(DISTINCT 'edge~' || a || '~' || b) || list(DISTINCT 'paper~' || paper) FILTER (WHERE paper IS NOT NULL) AS items FROM item GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE paper IS NULL) = 0),
@@ -231,28 +228,21 @@ ind AS (SELECT c.head, c.tail, path_no::INTEGER AS path_no, c.nodes, items FROM
 
 @query(sql("SELECT head, tail, path_no, array_to_string(nodes, ' > ') AS path, len(list_filter(items, lambda x: starts_with(x, 'paper~')))::BIGINT AS papers FROM ind", GREEDY_SQL).replace("WITH e0", "WITH RECURSIVE e0"))
 def independent_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Independent evidence paths of up to three edges between the ends of the top candidates; independent_paths_all goes to four."""
-    return _independent(spark, d, 3)
-
-
-@query()
-def independent_paths_all(spark: SparkSession, d: str) -> DataFrame:
-    """Independent evidence paths of up to four edges."""
-    return _independent(spark, d, 4)
-
-
-def _independent(spark: SparkSession, d: str, cutoff: int) -> DataFrame:
+    """Independent evidence paths of up to four edges between the ends of the top candidates."""
     scratch = Scratch(spark, "paths")
     e, c = _candidates(spark, d, scratch)
     sources = scratch.save(paths.edge_papers(e), "sources")
-    p = scratch.save(paths.independent_paths(e, c, cutoff, sources), "independent")
+    p = scratch.save(paths.independent_paths(e, c, 4, sources), "independent")
     n = paths.path_papers(p, sources).groupBy("head", "tail", "path_no").agg(F.count("*").alias("papers"))
     return p.join(n, ["head", "tail", "path_no"]).select("head", "tail", "path_no", F.array_join("nodes", " > ").alias("path"), "papers")
 
 
-_RECORDS = ",\n" + """hop AS (SELECT DISTINCT head || ' | ' || tail AS candidate, unnest([(least(nodes[1], nodes[2]), greatest(nodes[1], nodes[2])), (least(nodes[2], nodes[3]), greatest(nodes[2], nodes[3]))]) AS h
-  FROM (SELECT l.head, l.tail, [l.head, x.other, l.tail] AS nodes FROM links l JOIN adj x ON x.node = l.head JOIN adj y ON y.node = x.other AND y.other = l.tail)),
-rec AS (SELECT DISTINCT candidate, u, relation, v, source_paper AS paper_id, coalesce(evidence, '') AS evidence FROM hop JOIN e ON (least(u, v), greatest(u, v)) = h),
+#: Up to three independent paths of each candidate, or else its three shortest.
+_RECORDS = GREEDY_SQL + """,
+few AS (SELECT head, tail, nodes FROM ind WHERE path_no <= 3 UNION ALL SELECT head, tail, nodes FROM (SELECT *, row_number() OVER (PARTITION BY head, tail ORDER BY len(nodes), nodes) AS r FROM walks) WHERE r <= 3 AND (head, tail) NOT IN (SELECT (head, tail) FROM ind)),
+step AS (SELECT head, tail, nodes, unnest(range(1, len(nodes))) AS i FROM few),
+way AS (SELECT DISTINCT head || ' | ' || tail AS candidate, (least(nodes[i], nodes[i + 1]), greatest(nodes[i], nodes[i + 1])) AS h FROM step),
+rec AS (SELECT DISTINCT candidate, u, relation, v, source_paper AS paper_id, coalesce(evidence, '') AS evidence FROM way JOIN e ON (least(u, v), greatest(u, v)) = h),
 card AS (SELECT paperId AS paper_id, arg_min_null(nullif(title, ''), seq) AS title, arg_min_null(year, seq) AS paper_year, coalesce(arg_min_null(venue, seq), '') AS venue FROM papers WHERE nullif(paperId, '') IS NOT NULL GROUP BY 1),
 res AS (SELECT candidate, r.paper_id, coalesce(title, 'Paper ' || r.paper_id) AS title, paper_year, coalesce(venue, '') AS venue, count(*) AS evidence_records
   FROM rec r LEFT JOIN card c ON c.paper_id = r.paper_id WHERE r.paper_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5)"""
@@ -261,17 +251,17 @@ res AS (SELECT candidate, r.paper_id, coalesce(title, 'Paper ' || r.paper_id) AS
 def _provenance(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "provenance")
     e, c = _candidates(spark, d, scratch)
-    two = paths.simple_paths(graph.simple(e), c, 2).select(F.concat_ws(" | ", "head", "tail").alias("candidate"), "nodes")
-    return provenance.resolve(provenance.path_records(e, two), table(spark, d, "papers"))
+    few = paths.evidence(e, c, 4, 3).select(F.concat_ws(" | ", "head", "tail").alias("candidate"), "nodes")
+    return provenance.resolve(provenance.path_records(e, few), table(spark, d, "papers"))
 
 
-@query(sql("SELECT candidate, paper_id, title, paper_year, venue, evidence_records FROM res", _RECORDS))
+@query(sql("SELECT candidate, paper_id, title, paper_year, venue, evidence_records FROM res", _RECORDS).replace("WITH e0", "WITH RECURSIVE e0"))
 def gap_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Papers and evidence on the two-hop paths behind the top link candidates, newest first; gap_provenance_all has the whole."""
+    """Papers and evidence behind the top link candidates, newest first: on up to three independent evidence paths of at most four edges, or else the shortest paths; gap_provenance_all has all families."""
     return provenance.listed(_provenance(spark, d))
 
 
-@query(sql("SELECT paper_id, count(DISTINCT candidate) AS candidates, 'missing_link' AS families FROM res GROUP BY paper_id", _RECORDS))
+@query(sql("SELECT paper_id, count(DISTINCT candidate) AS candidates, 'missing_link' AS families FROM res GROUP BY paper_id", _RECORDS).replace("WITH e0", "WITH RECURSIVE e0"))
 def source_paper_inversion(spark: SparkSession, d: str) -> DataFrame:
     """The candidates that each paper of gap_provenance supports; source_paper_inversion_all has all families."""
     r = _provenance(spark, d)

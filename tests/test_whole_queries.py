@@ -109,7 +109,7 @@ def test_paths_and_provenance_of_all_families(spark, tiny, monkeypatch):
     decays = [r["concept"] for r in rows(spark, d, "temporal_decay")]
     assert links and decays
     want_paths = {(a, b, " > ".join(w)) for a, b in links for w in simple_walks(data, a, b, 4)}
-    assert {(r["head"], r["tail"], r["path"]) for r in rows(spark, d, "evidence_paths_all")} == want_paths and any(p.count(">") == 4 for *_, p in want_paths)
+    assert {(r["head"], r["tail"], r["path"]) for r in rows(spark, d, "evidence_paths")} == want_paths and any(p.count(">") == 4 for *_, p in want_paths)
     records = {}
     for a, b in links:
         hops = {frozenset(h) for w in simple_walks(data, a, b, 4)[:3] for h in zip(w, w[1:])}
