@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.draws import uniform
 from lacuna.plans.runtime import Scratch
 
 SPREAD = 64
@@ -52,13 +53,13 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, s
     drawn: (doc key, source, n_tokens, copy_no), one row for each copy.  shares:
     for every target source its target and actual share, tokens, documents and
     largest number of copies.  Documents with a null source or one that no
-    target names take no part; documents of size 0 take part like any other;
+    target names take no part, nor do documents of no tokens (null and empty texts);
     empty tables give empty results.  A source with most of the rows is ranked
     in ``SPREAD`` parts for each size, so no task holds a source.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     picked = docs.select(F.col(key).alias("k"), source_key(F.col(source)).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n_tokens"))
-    picked = scratch.save(picked.where("source is not null"), "sizes")
+    picked = scratch.save(picked.where("source is not null and n_tokens > 0"), "sizes")
     todo = scratch.save(plan(picked.select("source", "n_tokens"), targets), "plan")
     rate = F.broadcast(todo.where("expected_copies > 0").select("source", "max_repeats", "expected_copies"))  # one row a target source
     part = F.pmod(F.xxhash64("k"), F.lit(SPREAD)).alias("part")
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, s
     place = F.row_number().over(Window.partitionBy("source", "n_tokens", "part").orderBy("k"))
     ranked = ranked.withColumn("place", place).join(offsets, ["source", "n_tokens", "part"]).join(rate, "source")
     ranked = ranked.withColumn("rank", F.col("before") + F.col("place"))
-    offset = (F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    offset = uniform(F.lit(seed), F.col("source"))
     crossed = F.floor(F.col("rank") * F.col("expected_copies") + offset) - F.floor((F.col("rank") - 1) * F.col("expected_copies") + offset)
     drawn = ranked.withColumn("copies", F.least(crossed, F.col("max_repeats")).cast("int")).where("copies > 0").select("k", "source", "n_tokens", "copies")
     drawn = scratch.save(drawn, "drawn")

@@ -118,6 +118,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_shares_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    """p8_shares with characters for tokens, which SQL can count too."""
+    sized = table(spark, d, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    x = mixing.mix(sized, table(spark, d, "source_targets"), "doc_id", "source", "n")[1]
+    return x.select("source", F.round("target_share", 9).alias("target_share"), F.round("actual_share", 9).alias("actual_share"), "max_repeats", F.col("most_copies").cast("int").alias("most_copies"), "docs", "docs_used", "tokens_available", F.round("tokens_target", 3).alias("tokens_target"), "tokens_mix")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(table(spark, d, "documents"), "doc_id", "text", 200).pairs()
 
@@ -128,7 +135,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p2_found, p3_found, p3_groups, p5_found, p5_decisions, p5_appends, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p2_found, p3_found, p3_groups, p5_found, p5_decisions, p5_appends, p6_found, p6_terms, p7_ids, p8_mix, p8_shares, p8_shares_by_chars, p9_found, p9_shared)}
 
 
 _P3 = """WITH w AS (SELECT seq, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{L}\\p{N}]+') AS w FROM papers),
@@ -137,6 +144,27 @@ n AS (SELECT seq, count(*) AS n FROM s GROUP BY seq),
 c AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.seq < b.seq GROUP BY 1, 2)
 SELECT seq_a, seq_b FROM c JOIN n x ON x.seq = seq_a JOIN n y ON y.seq = seq_b WHERE i >= 0.7 * (x.n + y.n - i) - 1e-9"""
 
+_P3_GROUPS = "WITH RECURSIVE w AS" + _P3.removeprefix("WITH w AS").rsplit("\n", 1)[0] + """,
+k AS (SELECT seq, list(g ORDER BY g) AS gs FROM s GROUP BY seq), cl AS (SELECT seq, min(seq) OVER (PARTITION BY gs) AS rep, count(*) OVER (PARTITION BY gs) AS copies FROM k),
+p AS (SELECT seq_a AS a, seq_b AS b FROM c JOIN n x ON x.seq = seq_a JOIN n y ON y.seq = seq_b JOIN cl u ON u.seq = seq_a AND u.rep = seq_a JOIN cl v ON v.seq = seq_b AND v.rep = seq_b WHERE i >= 0.7 * (x.n + y.n - i) - 1e-9),
+two AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT DISTINCT a AS node, a AS reach FROM two UNION SELECT r.node, two.b FROM r JOIN two ON two.a = r.reach),
+grp AS (SELECT node, min(reach) AS group_key FROM r GROUP BY node), lk AS (SELECT a AS node, count(*) AS links FROM two GROUP BY a)
+SELECT cl.seq, cl.rep AS class, coalesce(group_key, cl.rep) AS group_key, coalesce(links, 0) AS links FROM cl LEFT JOIN grp ON grp.node = cl.rep LEFT JOIN lk ON lk.node = cl.rep WHERE copies > 1 OR group_key IS NOT NULL"""
+
+_P8 = r"""WITH d AS (SELECT lower(regexp_replace(source, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS source, length(text) AS n FROM documents WHERE source IS NOT NULL AND length(text) > 0),
+have AS (SELECT source, count(*) AS docs, sum(n) AS tokens FROM d GROUP BY 1),
+want AS (SELECT lower(regexp_replace(source, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS source, sum(target_share) AS target_share, min(max_repeats) AS max_repeats FROM source_targets WHERE source IS NOT NULL GROUP BY 1),
+u AS (SELECT w.*, coalesce(docs, 0) AS docs, coalesce(tokens, 0)::BIGINT AS tokens, coalesce(tokens, 0) > 0 AND target_share > 0 AND max_repeats > 0 AS ok FROM want w LEFT JOIN have h ON h.source = w.source),
+v AS (SELECT *, CASE WHEN ok THEN target_share ELSE 0 END / sum(CASE WHEN ok THEN target_share ELSE 0 END) OVER () AS share FROM u),
+t AS (SELECT *, least(sum(CASE WHEN ok THEN tokens END) OVER (), min(CASE WHEN ok THEN max_repeats * tokens / share END) OVER ()) * share AS goal FROM v),
+e AS (SELECT *, CASE WHEN ok THEN least(goal / tokens, max_repeats) ELSE 0 END AS rate, ('0x' || substr(md5('7|' || source), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM t),
+r AS (SELECT d.source, n, row_number() OVER (PARTITION BY d.source ORDER BY n) AS r FROM d),
+c AS (SELECT r.source, n, least(floor(r * rate + start) - floor((r - 1) * rate + start), max_repeats) AS copies FROM r JOIN e ON e.source = r.source WHERE rate > 0),
+g AS (SELECT source, count(*) AS used, sum(copies * n) AS mix, max(copies) AS most FROM c WHERE copies > 0 GROUP BY 1)
+SELECT e.source, round(target_share, 9) AS target_share, round(coalesce(mix, 0) / (SELECT sum(mix) FROM g), 9)::DOUBLE AS actual_share, max_repeats, coalesce(most, 0)::INTEGER AS most_copies, docs, coalesce(used, 0) AS docs_used, tokens AS tokens_available, round(coalesce(goal, 0), 3)::DOUBLE AS tokens_target, coalesce(mix, 0)::BIGINT AS tokens_mix
+FROM e LEFT JOIN g ON g.source = e.source""".replace("\\\\", "\\")
+
 _P9 = """WITH d AS (SELECT DISTINCT doc_id, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
 m AS (SELECT s FROM d GROUP BY s HAVING count(*) > 1), x AS (SELECT d.* FROM d JOIN m ON m.s = d.s)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id"""
@@ -150,4 +178,4 @@ SELECT t.doc_id, length(text) AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000", "p1_checks": "SELECT seq, length(abstract) AS n_chars, true AS pieces_fit, true AS overlaps_fit, md5(abstract) AS rebuilt FROM papers WHERE length(abstract) > 2000", "p3_found": _P3, "p9_found": _P9, "p9_shared": _P9_SHARED}
+    return {"p1_found": "SELECT seq FROM papers WHERE length(abstract) > 2000", "p1_checks": "SELECT seq, length(abstract) AS n_chars, true AS pieces_fit, true AS overlaps_fit, md5(abstract) AS rebuilt FROM papers WHERE length(abstract) > 2000", "p3_found": _P3, "p3_groups": _P3_GROUPS, "p8_shares_by_chars": _P8, "p9_found": _P9, "p9_shared": _P9_SHARED}

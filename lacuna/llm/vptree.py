@@ -124,28 +124,36 @@ def pairs_in_shards(cell: np.ndarray, n: np.ndarray, pos: np.ndarray, side: np.n
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _shards(s: np.ndarray, row: np.ndarray, n: np.ndarray, fp: np.ndarray, count: np.ndarray, large: int, t: float):
-    """(index of the posting, shard, side): one shard a posting, or several where the shingle may be in many rows."""
+def _shards(s: np.ndarray, row: np.ndarray, n: np.ndarray, pos: np.ndarray, fp: np.ndarray, count: np.ndarray, large: int, t: float):
+    """(index of the posting, shard, side): one shard a posting, or several where the shingle may be in many rows.
+
+    Such a shard is cut.  Of a pair, the smaller row holds the shingle in the
+    short prefix that is enough against sets not smaller; only these postings
+    stand in the cut shard, in one cell each, and all of them ask in every cell
+    that their radius overlaps.  Rows that hold a common shingle late, as texts
+    made from a template do, therefore never meet over it.
+    """
     at = np.arange(len(s))
     cell, side = s.view(np.int64).copy(), np.full(len(s), _SELF, np.int64)
     hot = np.flatnonzero(count > large)
     if not len(hot):
         return at, cell, side
     keep = count <= large
-    parts = [(at[keep], cell[keep], side[keep])]
-    for p in hot:
-        prints = fp[row[p]]
-        vantage = S.mix(np.array([s[p], s[p] ^ np.uint64(0x5851F42D4C957F2D)], np.uint64))
-        blocks = int(-(-int(count[p]) // large))
-        d = int(hamming(prints, vantage))
-        reach = int((1 - t) / t * n[row[p]] + S.EPS)
-        mine = (d // RING) * blocks + int(S.mix(prints[:1])[0] % np.uint64(blocks))
-        rings = np.arange(max(0, d - reach) // RING, min(128, d + reach) // RING + 1)
-        other = (rings[:, None] * blocks + np.arange(blocks)).ravel()
-        lo, hi = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
-        where = np.where(other == mine, _SELF, (other < mine).astype(np.int64))
-        parts.append((np.full(len(other), p), S.mix(s[p] ^ S.mix(lo << np.uint64(32) | hi)).view(np.int64), where))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    prints, size = fp[row[hot]], n[row[hot]]
+    vantage = np.stack((S.mix(s[hot]), S.mix(s[hot] ^ np.uint64(0x5851F42D4C957F2D))), axis=1)
+    blocks = -(-count[hot].astype(np.int64) // large)
+    d = hamming(prints, vantage)
+    place = lambda posting, ring, block: S.mix(s[hot][posting] ^ S.mix(ring.astype(np.uint64) << np.uint64(32) | block.astype(np.uint64))).view(np.int64)
+    early = np.flatnonzero(pos[hot] < S.short_prefix_len(size, t))
+    mine = place(early, d[early] // RING, (S.mix(prints[early, 0]) % blocks[early].astype(np.uint64)).astype(np.int64))
+    reach = np.floor((1 - t) / t * size + S.EPS).astype(np.int64)
+    low, high = np.maximum(0, d - reach) // RING, np.minimum(128, d + reach) // RING
+    cells = (high - low + 1) * blocks
+    ask = np.repeat(np.arange(len(hot)), cells)
+    no = np.arange(len(ask)) - np.repeat(np.cumsum(cells) - cells, cells)
+    asked = place(ask, low[ask] + no // blocks[ask], no % blocks[ask])
+    zero, one = np.zeros(len(early), np.int64), np.ones(len(ask), np.int64)
+    return np.concatenate((at[keep], hot[early], hot[ask])), np.concatenate((cell[keep], mine, asked)), np.concatenate((side[keep], zero, one))
 
 
 def candidate_pairs(reps: DataFrame, key: str, texts: list[str], counts: np.ndarray, k: int, t: float, min_words: int, large: int = LARGE_SHARD) -> DataFrame:
@@ -167,7 +175,7 @@ def candidate_pairs(reps: DataFrame, key: str, texts: list[str], counts: np.ndar
                 s, ends = S.shingle_sets(part, k, min_words)
                 fp = S.odd_sketch(s, ends)
                 s, row, pos, n = S.ranked_prefixes(s, ends, count, t)
-                p, cell, side = _shards(s, row, n, fp, count[S.slot(s, len(count))], large, t)
+                p, cell, side = _shards(s, row, n, pos, fp, count[S.slot(s, len(count))], large, t)
                 row, pos = row[p], pos[p]
                 keys = batch.column(0).to_numpy(zero_copy_only=False)[at + row]
                 meta = n[row] << 32 | pos << 2 | side

@@ -41,5 +41,5 @@ def test_degenerate_inputs(spark):
     drawn, shares = make(spark, [], [("a", 1.0, 1)])
     assert drawn.count() == 0 and shares.first()["actual_share"] == 0.0
     drawn, shares = make(spark, [(1, None, 5), (2, "x", None), (3, "a", 0), (4, "a", 7)], [("a", 1.0, 1), (None, 0.5, 1), ("z", None, None)])
-    assert {r["doc_id"] for r in drawn.collect()} == {3, 4}
+    assert {r["doc_id"] for r in drawn.collect()} == {4} and {r["source"]: r["docs"] for r in shares.collect()} == {"a": 1, "z": 0}
     assert make(spark, [(1, "a", 1)], [])[0].count() == 0
