@@ -25,7 +25,7 @@ from lacuna.plans.runtime import Scratch, ship
 BLOCKS = 64
 PRINTS = ("f0", "f1", "f2", "f3")
 _CHUNK_CHARS = 8_000_000
-_ELEMENTS = 2_000_000
+_ELEMENTS = 500_000
 _PAIRS = 1 << 64 - S.HASH_BITS - 1
 
 
