@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.text import year_of_date
@@ -138,15 +138,17 @@ def translation_scores(candidates: DataFrame, entity_vectors: DataFrame, relatio
     return x.orderBy(F.desc("prediction_score"), "head", "relation", "tail").limit(top_k) if top_k else x
 
 
-def communities(pairs: DataFrame, rounds: int = 10, levels: int = 8, seed: int = 42, settle: int = 20) -> DataFrame:
+def communities(pairs: DataFrame, rounds: int = 6, levels: int = 64, seed: int = 42) -> DataFrame:
     """(node, community) by modularity, for the simple graph's nodes.
 
     Local moving runs for all nodes at once: each looks at the communities of
     its neighbours and joins the best one if modularity gains; in a round half
     of the nodes (by a hash of node and round) may move, so that neighbours do
-    not swap places for ever.  Communities then become nodes and the next level
-    begins, once fewer than one node in ``settle`` moves, until nothing does.  A community is named by its smallest node.
-    Fixed by ``seed``; not the partition of any other Louvain program.
+    not swap places for ever.  After ``rounds`` rounds communities become nodes
+    and the next level begins, with half as many rounds.  It ends when, at the
+    last level, no node at all would gain by moving; ``levels`` levels without
+    that are an error.  A community is named by its smallest node.  Fixed by
+    ``seed``; not the partition of any other Louvain program.
     """
     scratch = Scratch(pairs.sparkSession, "communities")
     numbers, pairs = graph.numbered(pairs, scratch)
@@ -159,36 +161,47 @@ def communities(pairs: DataFrame, rounds: int = 10, levels: int = 8, seed: int =
     for level in range(levels):
         k = w.groupBy("x").agg(F.sum("w").alias("k"))
         own = scratch.save(k.select("x", "k", F.col("x").alias("c")), "own")
-        n, moved_any = own.count(), False
-        for turn in range(rounds if level == 0 else (rounds + 1) // 2):
-            tot = own.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = w.where("x != y").join(own.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("into"))
-            here = own.select("x", "k", F.col("c").alias("mine")).join(tot.withColumnRenamed("c", "mine").withColumnRenamed("tot", "mytot"), "mine")
-            opts = near.join(tot, "c").join(here, "x")
-            gain = F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / m2
-            best = opts.groupBy("x").agg(F.max(F.struct(gain.alias("gain"), F.when(F.col("c") == F.col("mine"), 1).otherwise(0).alias("stay"), F.col("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("mine"), gain)).alias("stay_gain"))
-            may = F.pmod(F.xxhash64(F.lit(seed), F.lit(level * 1000 + turn), "x"), F.lit(2)) == 0
-            alone = -F.col("k") * (F.col("mytot") - F.col("k")) / m2
-            x = here.join(best, "x", "left")
-            better = F.coalesce((F.col("best.gain") > F.coalesce("stay_gain", alone) + 1e-12) & may, F.lit(False))
-            after = scratch.save(x.select("x", "k", F.when(better, F.col("best.c")).otherwise(F.col("mine")).alias("c"), better.alias("moved")), f"own{level}-{turn}")
-            moves = after.where("moved").count()
-            scratch.drop(own)
-            own = after.drop("moved")
-            moved_any |= moves > 0
-            if moves * settle < n and turn % 2:  # the next level goes on with the rest
+        moved_any, turn, all_may = False, 0, False
+        while turn < (rounds if level == 0 else (rounds + 1) // 2) or (all_may and not moved_any):
+            own, moves = _moved(w, own, m2, None if all_may else seed, level * 1000 + turn, scratch)
+            moved_any, turn = moved_any or moves > 0, turn + 1
+            if moves == 0 and all_may:
                 break
+            all_may = moves == 0  # a round without a move: let all look once more
         if not moved_any:
             break
         first = own.groupBy("c").agg(F.min("x").alias("first"))
         own = scratch.save(own.join(first, "c").select("x", F.col("first").alias("c")), "named")
+        before = member, w
         member = scratch.save(member.join(own.select(F.col("x").alias("c"), F.col("c").alias("to")), "c").select("node", F.col("to").alias("c")), "members")
         w = scratch.save(w.join(own.select("x", F.col("c").alias("cx")), "x").join(own.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")), "weights")
+        for old in before:
+            scratch.drop(old)
+    else:
+        raise RuntimeError(f"communities still move after {levels} levels")
     first = member.groupBy("c").agg(F.min("node").alias("first"))
     x = member.join(first, "c").select("node", "first").join(names, "node").select("name", "first")
     return x.join(names.toDF("first", "community"), "first").select(F.col("name").alias("node"), "community")
 
 
+def _moved(w: DataFrame, own: DataFrame, m2: float, seed: int | None, turn: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(own after a round, number of moves) of (x, k, c); without a seed all nodes may move."""
+    tot = own.groupBy("c").agg(F.sum("k").alias("tot"))
+    near = w.where("x != y").join(own.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("into"))
+    here = own.select("x", "k", F.col("c").alias("mine")).join(tot.withColumnRenamed("c", "mine").withColumnRenamed("tot", "mytot"), "mine")
+    opts = near.join(tot, "c").join(here, "x")
+    gain = F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / m2
+    best = opts.groupBy("x").agg(F.max(F.struct(gain.alias("gain"), F.when(F.col("c") == F.col("mine"), 1).otherwise(0).alias("stay"), F.col("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("mine"), gain)).alias("stay_gain"))
+    may = F.lit(True) if seed is None else F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "x"), F.lit(2)) == 0
+    alone = -F.col("k") * (F.col("mytot") - F.col("k")) / m2
+    better = F.coalesce((F.col("best.gain") > F.coalesce("stay_gain", alone) + 1e-9) & may, F.lit(False))
+    x = here.join(best, "x", "left").select("x", "k", F.when(better, F.col("best.c")).otherwise(F.col("mine")).alias("c"), better.alias("moved"))
+    count = Observation()
+    after = scratch.save(x.observe(count, F.count_if("moved").alias("moves")), "own")
+    scratch.drop(own)
+    return after.drop("moved"), count.get["moves"]
+
+
 def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """One row: the modularity of (node, community) on the simple graph."""
     both = graph.both_ways(pairs).join(membership.toDF("node", "cx"), "node").join(membership.toDF("other", "cy"), "other")

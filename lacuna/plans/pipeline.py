@@ -23,6 +23,7 @@ class Config:
     key: Callable[[Column], Column] = key_column
     merge_names: bool = True
     fuzzy_threshold: int = 85
+    cosine_threshold: float = 0.85
     top_links: int = 50
     min_cluster_ratio: float = 0.05
     max_inter_ratio: float = 0.1
@@ -48,14 +49,17 @@ def screen_corpus(papers: DataFrame, target: int = 150, threshold: float = 0.7)
     return corpus.by_relevance(corpus.relevant(flat, threshold), target).drop("relevant", "confidence")
 
 
-def build_graph(triples: DataFrame, c: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges), both written; no triples give an empty graph."""
+def build_graph(triples: DataFrame, c: Config = Config(), vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges), both written; no triples give an empty graph.
+
+    vectors: (name, vec) of entity names, for merging by meaning after merging by spelling.
+    """
     scratch = Scratch(triples.sparkSession, "graph")
     edges = scratch.save(graph.edges_from_triples(triples, c.key, c.min_confidence, c.relations), "edges")
     if c.merge_names:
         names = graph.endpoints(edges).groupBy(F.col("node").alias("name")).agg(F.count("*").alias("occurrences"), F.min("edge_seq").alias("seq"))
         names = scratch.save(names, "names")
-        merged = resolve.greedy_merge(names, resolve.fuzzy_pairs(names.select("name"), c.fuzzy_threshold))
+        merged = scratch.save(resolve.merge_names(names, c.fuzzy_threshold, vectors, c.cosine_threshold).select("name", "canonical"), "merges")
         edges = scratch.save(resolve.apply_names(edges, merged), "merged")
     nodes = graph.entity_index(edges).join(graph.degree_centrality(edges), "node", "left")
     return scratch.save(nodes, "nodes"), edges

@@ -317,6 +317,15 @@ def embedding_top3(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest_vectors(v, v.where("doc % 20 = 0").select(F.col("doc").alias("query"))).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    """WITH v AS (SELECT vec_id AS doc, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT doc, e, sqrt(list_dot_product(e, e)) AS l FROM v)
+SELECT x.doc AS x, y.doc AS y, round(list_dot_product(x.e, y.e) / (x.l * y.l), 6) AS score FROM n x JOIN n y ON x.doc < y.doc WHERE list_dot_product(x.e, y.e) / (x.l * y.l) >= 0.4"""
+)
+def embedding_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of a cosine of at least 0.4 (the table's vectors are farther apart than those of names that mean the same)."""
+    return retrieval.similar_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT seq, title FROM papers WHERE contains(lower(concat_ws(' ', title, array_to_string(list_transform(authors, lambda a: coalesce(a.name, '')), ' '), venue, paperId)), 'gradient')")
 def paper_search(spark: SparkSession, d: str) -> DataFrame:
     return corpus.search(table(spark, d, "papers"), "Gradient").select("seq", "title")

@@ -198,9 +198,22 @@ def test_fuzzy_pairs_match_brute_force(spark):
     assert got == {(a, b) for a, b in combinations(names, 2) if round(indel_ratio(sort_key(a), sort_key(b))) >= 85}
 
 
-def test_cosine_pairs(spark):
-    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.1]), ("c", [0.0, 1.0]), ("z", [0.0, 0.0]), ("n", None)], "name string, vec array<double>")
-    assert [(r["x"], r["y"]) for r in resolve.cosine_pairs(v).collect()] == [("a", "b")]
+def test_similar_vectors(spark, monkeypatch):
+    from lacuna.operators import retrieval
+
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.1]), ("c", [0.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("e", []), ("long", [1.0, 0.0, 0.0])], "name string, vec array<double>")
+    for rows in (2048, 2):
+        monkeypatch.setattr(retrieval, "ROWS", rows)
+        assert [(r["x"], r["y"]) for r in retrieval.similar_vectors(v, "name", "vec").collect()] == [("a", "b")]
+        near = retrieval.nearest_vectors(v.withColumnRenamed("name", "doc"), spark.createDataFrame([("a",), ("z",), ("n",)], "query string"), 1).collect()
+        assert [(r["query"], r["doc"], r["rank"]) for r in near] == [("a", "b", 1)]
+
+
+def test_names_merge_by_spelling_then_by_meaning(spark):
+    names = spark.createDataFrame([("service mesh", 5, 1), ("mesh service", 3, 2), ("sidecar network", 9, 3), ("other", 1, 4)], "name string, occurrences bigint, seq bigint")
+    vectors = spark.createDataFrame([("service mesh", [1.0, 0.1]), ("mesh service", [0.0, 1.0]), ("sidecar network", [1.0, 0.0]), ("other", [-1.0, 0.0])], "name string, vec array<double>")
+    got = {r["name"]: (r["canonical"], r["method"]) for r in resolve.merge_names(names, 85, vectors).collect()}
+    assert got == {"service mesh": ("sidecar network", "cosine"), "mesh service": ("sidecar network", "fuzzy"), "sidecar network": ("sidecar network", None), "other": ("other", None)}
 
 
 def test_embedding_candidates_and_scores(spark):
