@@ -11,6 +11,7 @@ from lacuna.plans.runtime import ranked
 
 DECISIONS = ("Accept", "Modify", "Reject", "Pending")
 CONTRACTS = ("provenance_only", "specificity_only", "path_diversity_only", "perturbation_only", "hard_contract_without_perturbation", "full_without_coverage_screen", "full_evidence_contract")
+FAMILIES = ("missing_link", "orphan_cluster", "temporal_decay")
 STATUSES = ("review_required", "rejected", "automatically_eligible")
 
 
@@ -93,6 +94,24 @@ def queue_positions(decisions: DataFrame, order: tuple[str, ...] = ("automatical
     return ranked(decisions, rank, F.col(tie), name="position")
 
 
+def review_ledger(queue: DataFrame, ranked_before: DataFrame, prior: DataFrame, tie: str = "candidate") -> DataFrame:
+    """The queue after the gate, with the decisions that an earlier review of the same candidates made.
+
+    queue: (candidate, family, ranking_score, reasons, papers, closure_hits);
+    ranked_before: (candidate, rank) of the reviewed list; prior: (rank,
+    decision).  Only a decided row of the very same candidate is carried over,
+    all else is pending; nothing is filled in.  The order is by family, then by
+    ``tie``.
+    """
+    x = queue.join(ranked_before.select("candidate", F.col("rank").alias("prior_rank")).dropDuplicates(["candidate"]), "candidate", "left")
+    made = prior.where(F.col("decision").isin(*[k for k in DECISIONS if k != "Pending"])).select(F.col("rank").alias("prior_rank"), F.col("decision").alias("made")).dropDuplicates(["prior_rank"])
+    x = x.join(made, "prior_rank", "left")
+    source = F.when(F.col("made").isNotNull(), F.concat(F.lit("carried_from_rank_"), F.col("prior_rank").cast("string"))).otherwise("pending_author_review")
+    family = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family"))
+    x = x.select(F.sha2("candidate", 256).alias("review_key"), "candidate", "family", F.coalesce("made", F.lit("Pending")).alias("decision"), source.alias("decision_source"), "prior_rank", "ranking_score", "reasons", "papers", "closure_hits")
+    return ranked(x, family, F.col(tie), name="queue_position")
+
+
 def stratified_sample(df: DataFrame, strata: list[str], size: int, key: str, seed: int = 42) -> DataFrame:
     """``size`` rows taken in turn from every stratum, in a fixed random order within each.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.identity import describe
 from lacuna.functions.names import key_column
 from lacuna.operators import candidates, corpus, detect, gate, graph, resolve, score
 from lacuna.plans.runtime import Scratch
+from lacuna.sources import files
 
 
 @dataclass(frozen=True)
@@ -97,6 +98,22 @@ def detect_all(edges: DataFrame, c: Config = Config()) -> DataFrame:
     return out
 
 
+def write_run(folder: str, nodes: DataFrame, edges: DataFrame, found: DataFrame, papers: DataFrame | None) -> None:
+    """A run's inputs to the gate in one folder, to be judged again from there: graph, candidates and corpus."""
+    files.write_graph(nodes, edges, f"{folder}/graph")
+    found.write.mode("overwrite").parquet(f"{folder}/candidates")
+    if papers is not None:
+        papers.write.mode("overwrite").parquet(f"{folder}/corpus_filtered")
+
+
+def frozen_decisions(spark: SparkSession, folder: str, settings: gate.Settings = gate.Settings()) -> DataFrame:
+    """The gate over a run's stored graph, candidates and corpus (A21); what the detectors found is taken as it is."""
+    _, edges = files.read_graph(spark, f"{folder}/graph")
+    papers = files.resolve_corpus(spark, None, folder)
+    docs = None if papers is None else gate.documents(papers)
+    return gate.decide(candidates.facts(edges, spark.read.parquet(f"{folder}/candidates"), docs, settings, searched=True), settings)
+
+
 def run(triples: DataFrame, papers: DataFrame | None, c: Config = Config()) -> dict[str, DataFrame]:
     """nodes, edges, candidates, decisions, eligible, review and ranked of a corpus; papers None means that there is no corpus."""
     scratch = Scratch(triples.sparkSession, "run")

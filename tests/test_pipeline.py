@@ -17,6 +17,10 @@ def test_whole_chain(spark, small, tmp_path):
     files.write_ranked_csv(out["ranked"], str(tmp_path / "r"))
     files.write_gate(d, str(tmp_path / "g"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).count() == len(ranks)
+    pipeline.write_run(str(tmp_path / "run"), out["nodes"], out["edges"], out["candidates"], table(spark, small, "papers"))
+    again = pipeline.frozen_decisions(spark, str(tmp_path / "run"))
+    key = lambda df: sorted(map(tuple, df.select("candidate", "status", F.array_join("reasons", ",")).collect()))
+    assert key(again) == key(d)
 
 
 def test_without_a_corpus_nothing_is_eligible(spark, small):

@@ -48,3 +48,11 @@ def test_json_lines_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k bigint, t string")
     files.write_jsonl(df, str(tmp_path / "out"))
     assert sorted(map(tuple, spark.read.schema("k bigint, t string").json(str(tmp_path / "out")).collect())) == [(1, "a"), (2, None)]
+
+
+def test_review_ledger_carries_only_decisions_on_the_same_candidate(spark):
+    queue = spark.createDataFrame([("d", "temporal_decay", 0.5, ["r"], 2, 0), ("b", "missing_link", 0.6, ["r"], 2, 1), ("a", "missing_link", 0.7, ["r"], 3, 1), ("c", "orphan_cluster", 0.4, ["r"], 1, 1)], "candidate string, family string, ranking_score double, reasons array<string>, papers bigint, closure_hits bigint")
+    before = spark.createDataFrame([("a", 1), ("c", 2), ("z", 3)], "candidate string, rank int")
+    prior = spark.createDataFrame([(1, "Accept"), (2, "Pending"), (3, "Reject"), (9, None)], "rank int, decision string")
+    got = sorted((r["queue_position"], r["candidate"], r["decision"], r["decision_source"]) for r in evaluation.review_ledger(queue, before, prior).collect())
+    assert got == [(1, "a", "Accept", "carried_from_rank_1"), (2, "b", "Pending", "pending_author_review"), (3, "c", "Pending", "pending_author_review"), (4, "d", "Pending", "pending_author_review")]
