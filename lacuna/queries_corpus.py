@@ -303,8 +303,8 @@ def tfidf_top3(spark: SparkSession, d: str) -> DataFrame:
 @query(_SIM.replace("title", "abstract"))
 def tfidf_top3_abstracts(spark: SparkSession, d: str) -> DataFrame:
     """The three abstracts nearest to every twentieth one, of all abstracts, with or without a title."""
-    docs = table(spark, d, "papers").where("abstract is not null").select(F.col("seq").alias("doc"), F.col("abstract").alias("text"))
-    return retrieval.top_similar(retrieval.tfidf(docs), docs.where("doc % 20 = 0").select(F.col("doc").alias("query")), digits=6)
+    docs = table(spark, d, "papers").where("abstract is not null").select(F.col("seq").alias("doc"), F.col("abstract").alias("text"), (F.col("seq") % 20 == 0).alias("asks"))
+    return retrieval.nearest_texts(docs, digits=6)
 
 
 @query(
