@@ -139,6 +139,7 @@ def facts(
     per = per.join(stability.decay_addition_survival(ev, added, pubs, end_year, s.add_probability, **rule, **opts).withColumnRenamed("survival", "s_add"), "concept", "left")
     part.append(per.select("candidate", F.coalesce("papers", F.lit(0)).alias("papers"), *survival, *rest))
 
+    part = [scratch.save(p, name) for p, name in zip(part, ("of-links", "of-clusters", "of-declines"))]  # one by one: the driver's memory grows with the plan
     got = part[0].unionByName(part[1]).unionByName(part[2])
     pools = pool.select("candidate").distinct().withColumn("pooled", F.lit(True))
     f = candidates.join(got, "candidate", "left").join(pools, "candidate", "left")
@@ -153,7 +154,7 @@ def facts(
     if aliases is not None:
         own = candidates.select("candidate", "family", "peak_year")
         about = about.unionByName(aliases.select("candidate", F.col("entity_no").cast("int").alias("entity_no"), "label").join(own, "candidate"))
-    hits = gate.closure_hits(about, docs, s.coverage).groupBy("candidate").agg(F.count("*").alias("closure_hits"))
+    hits = scratch.save(gate.closure_hits(about, docs, s.coverage).groupBy("candidate").agg(F.count("*").alias("closure_hits")), "hits")
     return f.join(hits, "candidate", "left").na.fill(0, ["closure_hits"])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.draws import uniform
+from lacuna.plans.runtime import Scratch
 
 
 def replicates(df: DataFrame, repeats: int) -> DataFrame:
@@ -55,17 +56,28 @@ def cluster_survival(edges: DataFrame, mode: str, keep: float = 0.95, repeats: i
     edges: cluster_edges.  mode 'edge' keeps edges one by one; mode 'paper' keeps
     papers, and an edge while one of its papers is kept; sources are then the
     edges' papers as of paths.edge_papers.
+
+    Cut edges are drawn first.  Without one that is kept the cluster stays
+    isolated, with too many it does not even if every internal edge is kept;
+    internal edges are drawn only for the replicates that are left.
     """
+    scratch = Scratch(edges.sparkSession, "survival")
     name = F.col("community").cast("string")
     if mode == "edge":
-        x = replicates(edges, repeats).withColumn("kept", _kept(seed, mode, F.concat_ws("|", name, F.concat_ws("~", "a", "b")), keep))
-    else:
-        x = replicates(edges.join(sources, ["a", "b"], "left"), repeats)
-        kept = F.coalesce(_kept(seed, mode, F.concat_ws("|", name, "paper"), keep) & F.col("paper").isNotNull(), F.lit(False))
-        x = x.groupBy("community", "a", "b", "inside", "replicate").agg(F.bool_or(kept).alias("kept"))
-    runs = x.groupBy("community", "replicate").agg(F.count_if(F.col("kept") & F.col("inside")).alias("internal"), F.count_if(F.col("kept") & ~F.col("inside")).alias("cut"))
-    stays = 1 - F.col("cut") / F.greatest(F.col("internal") + F.col("cut"), F.lit(1)) >= isolation
-    return runs.groupBy("community").agg((F.count_if(stays) / F.lit(float(repeats))).alias("survival"))
+        kept = _kept(seed, mode, F.concat_ws("|", name, F.concat_ws("~", "a", "b")), keep)
+    else:  # an edge's papers in its row, so that no replicate of an edge travels
+        edges = edges.join(sources.groupBy("a", "b").agg(F.collect_set("paper").alias("papers")), ["a", "b"], "left")
+        kept = F.coalesce(F.exists("papers", lambda p: _kept(seed, mode, F.concat_ws("|", name, p), keep)), F.lit(False))
+    edges = scratch.save(edges, "edges")
+    stays = lambda internal: 1 - F.col("cut") / F.greatest(internal + F.col("cut"), F.lit(1)) >= isolation
+    drawn = lambda x, to: x.where(kept).groupBy("community", "replicate").agg(F.count("*").alias(to))
+    cut = drawn(replicates(edges.where(~F.col("inside")), repeats), "cut")
+    runs = replicates(edges.groupBy("community").agg(F.count_if("inside").alias("most")), repeats).join(cut, ["community", "replicate"], "left").na.fill(0, ["cut"])
+    runs = scratch.save(runs.withColumn("sure", F.when(stays(F.lit(0)), True).when(~stays(F.col("most")), False)), "runs")
+    rest = runs.where("sure is null").groupBy("community").agg(F.collect_set("replicate").alias("open"))
+    internal = drawn(edges.where("inside").join(rest, "community").withColumn("replicate", F.explode("open")), "internal")
+    runs = runs.join(internal, ["community", "replicate"], "left").withColumn("stays", F.coalesce("sure", stays(F.coalesce("internal", F.lit(0)))))
+    return runs.groupBy("community").agg((F.count_if("stays") / F.lit(float(repeats))).alias("survival"))
 
 
 def cluster_addition_survival(edges: DataFrame, plausible: DataFrame, probability: float = 0.5, repeats: int = 50, seed: int = 42, isolation: float = 0.9) -> DataFrame:
