@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,23 +106,24 @@ def facts(
     known = pairs.select(F.col("a").alias("head"), F.col("b").alias("tail"), F.lit(True).alias("existing_edge"))
     known = known.unionByName(known.select(F.col("tail").alias("head"), F.col("head").alias("tail"), "existing_edge"))
     x = counts
-    for other in (by_edge, by_paper, by_add, known):
+    for other in (*(scratch.save(by, "link-survival") for by in (by_edge, by_paper, by_add)), known):
         x = x.join(other, ["head", "tail"], "left")
     gone = F.coalesce("existing_edge", F.lit(False))
     part = [x.select("candidate", "papers", "paths", *[F.when(gone, 0.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("s_edge", "s_paper", "s_add")], gone.alias("existing_edge"))]
 
-    groups = candidates.where("family = 'orphan_cluster'").select("community", "candidate", F.explode("members").alias("node"))
-    m = groups.select("node", "community")
-    named = groups.select("community", "candidate").distinct()
-    at = scratch.save(stability.cluster_edges(pairs, m), "at")
-    per = named.join(gate.internal_papers(edges, m), "community", "left")
-    for mode, keep, name in (("edge", s.edge_keep, "s_edge"), ("paper", s.paper_keep, "s_paper")):
-        per = per.join(stability.cluster_survival(at, mode, keep, isolation=s.isolation, sources=sources, **opts).withColumnRenamed("survival", name), "community", "left")
-    added = pool.join(named, "candidate").select("community", "item")
-    per = per.join(stability.cluster_addition_survival(at, added, s.add_probability, isolation=s.isolation, **opts).withColumnRenamed("survival", "s_add"), "community", "left")
     rest = [F.lit(0).alias("paths"), F.lit(False).alias("existing_edge")]
     survival = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("s_edge", "s_paper", "s_add")]
-    part.append(per.select("candidate", F.coalesce("papers", F.lit(0)).alias("papers"), *survival, *rest))
+    groups = candidates.where("family = 'orphan_cluster'").select("community", "candidate", F.explode("members").alias("node"))
+    if not groups.isEmpty():
+        m = groups.select("node", "community")
+        named = groups.select("community", "candidate").distinct()
+        at = scratch.save(stability.cluster_edges(pairs, m), "at")
+        per = named.join(gate.internal_papers(edges, m), "community", "left")
+        for mode, keep, name in (("edge", s.edge_keep, "s_edge"), ("paper", s.paper_keep, "s_paper")):
+            per = per.join(stability.cluster_survival(at, mode, keep, isolation=s.isolation, sources=sources, **opts).withColumnRenamed("survival", name), "community", "left")
+        added = pool.join(named, "candidate").select("community", "item")
+        per = per.join(stability.cluster_addition_survival(at, added, s.add_probability, isolation=s.isolation, **opts).withColumnRenamed("survival", "s_add"), "community", "left")
+        part.append(per.select("candidate", F.coalesce("papers", F.lit(0)).alias("papers"), *survival, *rest))
 
     concepts = candidates.where("family = 'temporal_decay'").select("candidate", "concept")
     ev = scratch.save(stability.incident(edges, concepts), "events")
@@ -131,16 +134,16 @@ def facts(
         end_year = pubs.agg(F.max("year")).first()[0]  # one row a year
         if end_year is not None and s.snapshot_date and int(s.snapshot_date[:4]) == end_year:
             end_year -= 1
-    per = concepts.join(gate.incident_papers(edges, concepts), "concept", "left")
+    per = concepts.join(ev.where("has_paper").groupBy("concept").agg(F.count_distinct("paper").alias("papers")), "concept", "left")
     rule = {"lookback": s.lookback, "threshold": s.decay}
     for mode, keep, name in (("edge", s.edge_keep, "s_edge"), ("paper", s.paper_keep, "s_paper")):
-        per = per.join(stability.decay_survival(ev, pubs, mode, end_year, keep, **rule, **opts).withColumnRenamed("survival", name), "concept", "left")
+        per = per.join(scratch.save(stability.decay_survival(ev, pubs, mode, end_year, keep, **rule, **opts).withColumnRenamed("survival", name), "decline-survival"), "concept", "left")
     added = pool.join(concepts, "candidate").select("concept", "item", "year", "paper")
-    per = per.join(stability.decay_addition_survival(ev, added, pubs, end_year, s.add_probability, **rule, **opts).withColumnRenamed("survival", "s_add"), "concept", "left")
+    per = per.join(scratch.save(stability.decay_addition_survival(ev, added, pubs, end_year, s.add_probability, **rule, **opts).withColumnRenamed("survival", "s_add"), "decline-survival"), "concept", "left")
     part.append(per.select("candidate", F.coalesce("papers", F.lit(0)).alias("papers"), *survival, *rest))
 
-    part = [scratch.save(p, name) for p, name in zip(part, ("of-links", "of-clusters", "of-declines"))]  # one by one: the driver's memory grows with the plan
-    got = part[0].unionByName(part[1]).unionByName(part[2])
+    part = [scratch.save(p, "facts") for p in part]  # one by one: the driver's memory grows with the plan
+    got = reduce(DataFrame.unionByName, part)
     pools = pool.select("candidate").distinct().withColumn("pooled", F.lit(True))
     f = candidates.join(got, "candidate", "left").join(pools, "candidate", "left")
     f = f.withColumn("addition_available", F.coalesce("pooled", "search_performed", F.lit(False))).drop("pooled")

@@ -133,7 +133,10 @@ def independent_paths(edges: DataFrame, candidates: DataFrame, cutoff: int = 4,
     if taken is None:
         taken = c.select("pair", F.array("pair.head").alias("nodes")).limit(0)
     by = Window.partitionBy("head", "tail").orderBy(F.size("nodes"), "nodes")  # disjoint paths: no more than the smaller end has neighbours
-    return taken.select("pair.head", "pair.tail", "nodes").withColumn("path_no", F.row_number().over(by)).select("head", "tail", "path_no", "nodes")
+    out = taken.select("pair.head", "pair.tail", "nodes").withColumn("path_no", F.row_number().over(by)).select("head", "tail", "path_no", "nodes")
+    out = Scratch(edges.sparkSession, "independent").save(out, "paths")
+    scratch.clear()  # walks that nothing reads again
+    return out
 
 
 def _on(walk: DataFrame, adj: DataFrame, steps: int) -> DataFrame:

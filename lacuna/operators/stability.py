@@ -8,19 +8,56 @@ An edge or paper is kept if its draw is at most the keep probability.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.draws import uniform
 from lacuna.plans.runtime import Scratch
 
+MASK = 60  # replicates a number holds, one a bit
+
 
 def replicates(df: DataFrame, repeats: int) -> DataFrame:
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
 
 def _kept(seed: int, mode: str, item: Column, keep: float) -> Column:
-    return uniform(F.lit(seed), F.lit(mode), F.col("replicate"), item) <= keep
+    return _drawn(seed, mode, F.col("replicate"), item, keep)
+
+
+def _drawn(seed: int, mode: str, replicate: Column, item: Column, keep: float) -> Column:
+    """uniform(seed, mode, replicate, item) <= keep, by the digest's text: eight hexadecimal digits have the order of their number."""
+    if keep < 0:
+        return F.lit(False)
+    most = min(math.floor(keep * 4294967296.0), 4294967295)
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(mode), replicate.cast("string"), item)), 1, 8) <= F.lit(f"{most:08x}")
+
+
+def _mask(low: int, n: int, kept: Callable[[Column], Column]) -> Column:
+    bit = lambda r: F.when(kept(r), F.call_function("shiftleft", F.lit(1).cast("bigint"), r - low)).otherwise(F.lit(0).cast("bigint"))
+    return F.aggregate(F.sequence(F.lit(low), F.lit(low + n - 1)), F.lit(0).cast("bigint"), lambda a, r: a.bitwiseOR(bit(r)))
+
+
+def _masks(repeats: int, kept: Callable[[Column], Column] | None) -> list[Column]:
+    """m0, m1, ...: the replicates in which a row is kept (all, without kept) as bits, MASK of them a column."""
+    spans = [(low, min(MASK, repeats + 1 - low)) for low in range(1, repeats + 1, MASK)]
+    masks = [F.lit((1 << n) - 1).cast("bigint") if kept is None else _mask(low, n, kept) for low, n in spans]
+    return [m.alias(f"m{i}") for i, m in enumerate(masks)]
+
+
+def _yearly(masked: DataFrame, repeats: int) -> DataFrame:
+    """(concept, replicate, year, papers) of (concept, year, paper, m0, m1, ...): distinct papers of a year in each replicate.
+
+    A paper is one row however many replicates keep it; what is shuffled does not grow with their number.
+    """
+    names = [f"m{i}" for i in range(-(-repeats // MASK))]
+    once = masked.where("year is not null").groupBy("concept", "year", "paper").agg(*[F.bit_or(m).alias(m) for m in names])
+    bits = [F.sum(F.shiftright(names[(r - 1) // MASK], (r - 1) % MASK).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"r{r}") for r in range(1, repeats + 1)]
+    counts = once.groupBy("concept", "year").agg(*bits)
+    each = F.array(*[F.struct(F.lit(r).alias("replicate"), F.col(f"r{r}").alias("papers")) for r in range(1, repeats + 1)])
+    return counts.select("concept", "year", F.explode(each).alias("x")).select("concept", "x.replicate", "year", "x.papers").where("papers > 0")
 
 
 def link_survival(items: DataFrame, mode: str, keep: float = 0.95, repeats: int = 50, seed: int = 42, min_paths: int = 1) -> DataFrame:
@@ -102,7 +139,11 @@ def gate_decay(events: DataFrame, publications: DataFrame, end_year: int | None,
 
     It ends in the concept's last active year or end_year, whichever is earlier.
     """
-    y = events.where("year is not null").groupBy(*by, "year").agg(F.count_distinct("paper").alias("papers"))
+    return _declines(events.where("year is not null").groupBy(*by, "year").agg(F.count_distinct("paper").alias("papers")), publications, end_year, lookback, by)
+
+
+def _declines(y: DataFrame, publications: DataFrame, end_year: int | None, lookback: int, by: tuple[str, ...]) -> DataFrame:
+    """gate_decay of (by, year, papers)."""
     y = y.join(F.broadcast(publications), "year", "left")  # one row a year
     y = y.withColumn("rate", F.col("papers") / F.greatest(F.coalesce("publications", F.lit(0)), F.lit(1)))
     last = y.groupBy(*by).agg(F.max("year").alias("last"), F.count("*").alias("active_years"))
@@ -121,19 +162,20 @@ def decay_survival(events: DataFrame, publications: DataFrame, mode: str, end_ye
     events: incident().  Mode 'paper' drops the events that have no paper (Q16).
     """
     item = F.col("edge_seq").cast("string") if mode == "edge" else F.col("paper")
-    kept = _kept(seed, mode, F.concat_ws("|", "concept", item), keep)
-    x = replicates(events if mode == "edge" else events.where("has_paper"), repeats).where(kept)
-    d = gate_decay(x, publications, end_year, lookback, ("concept", "replicate"))
+    masks = _masks(repeats, lambda r: _drawn(seed, mode, r, F.concat_ws("|", "concept", item), keep))
+    x = events if mode == "edge" else events.where("has_paper").select("concept", "year", "paper").distinct()
+    x = x.select("concept", "year", "paper", *masks)
+    d = _declines(_yearly(x, repeats), publications, end_year, lookback, ("concept", "replicate"))
     ok = d.where((F.col("decay") >= threshold) & (F.col("active_years") >= 2)).groupBy("concept").agg((F.count("*") / F.lit(float(repeats))).alias("s"))
     return events.select("concept").distinct().join(ok, "concept", "left").select("concept", F.coalesce("s", F.lit(0.0)).alias("survival"))
 
 
 def decay_addition_survival(events: DataFrame, plausible: DataFrame, publications: DataFrame, end_year: int | None = None, probability: float = 0.5, repeats: int = 50, seed: int = 42, lookback: int = 2, threshold: float = 0.3) -> DataFrame:
     """(concept, survival) with each plausible event (concept, item, year, paper) added by chance to all observed ones."""
-    own = replicates(events.select("concept", "year", "paper"), repeats)
-    drawn = _kept(seed, "add", F.concat_ws("|", "concept", F.col("item").cast("string")), probability)
-    more = replicates(plausible.select("concept", "item", "year", F.coalesce("paper", F.concat(F.lit("plausible-"), F.col("item").cast("string"))).alias("paper")), repeats).where(drawn)
-    d = gate_decay(own.unionByName(more.select("concept", "year", "paper", "replicate")), publications, end_year, lookback, ("concept", "replicate"))
+    drawn = lambda r: _drawn(seed, "add", r, F.concat_ws("|", "concept", F.col("item").cast("string")), probability)
+    own = events.select("concept", "year", "paper", *_masks(repeats, None))
+    more = plausible.select("concept", "year", F.coalesce("paper", F.concat(F.lit("plausible-"), F.col("item").cast("string"))).alias("paper"), *_masks(repeats, drawn))
+    d = _declines(_yearly(own.unionByName(more), repeats), publications, end_year, lookback, ("concept", "replicate"))
     ok = d.where((F.col("decay") >= threshold) & (F.col("active_years") >= 2)).groupBy("concept").agg((F.count("*") / F.lit(float(repeats))).alias("s"))
     return events.select("concept").distinct().join(ok, "concept", "left").select("concept", F.coalesce("s", F.lit(0.0)).alias("survival"))
 
